@@ -44,11 +44,16 @@ def field_groups_persisted(fields: DataFrame) -> DataFrame:
                          (F.col("_rank") - 1).cast("int").alias("position"))
 
 
-def _whole_document(fields: DataFrame) -> DataFrame:
-    """Every field in one 'Record details' group, in sort order."""
-    work = fields.select("record_id", F.col("id").alias("field_id"), "sort_order")
-    placed = ranked(work, ["record_id"], [F.col("sort_order"), F.col("field_id")],
-                    F.floor(F.col("sort_order") / 64), "_rank")
+def _whole_document(fields: DataFrame, by_height: bool = False) -> DataFrame:
+    """Every field in one 'Record details' group, in sort order or down the page."""
+    zero = F.lit(0.0)
+    centre = F.coalesce("y", zero) + F.greatest(F.lit(SMALLEST_SIDE), F.coalesce("height", zero)) / 2
+    work = fields.select("record_id", F.col("id").alias("field_id"), "sort_order",
+                         centre.alias("_cy"), F.coalesce("x", zero).alias("_x"))
+    order, bucket = [F.col("sort_order"), F.col("field_id")], F.floor(F.col("sort_order") / 64)
+    if by_height:
+        order, bucket = [F.col("_cy"), F.col("_x"), *order], F.floor(F.col("_cy") * 64)
+    placed = ranked(work, ["record_id"], order, bucket, "_rank")
     return placed.select(
         "record_id", "field_id", F.lit("details").alias("kind"), F.lit(0).alias("number"),
         F.lit("record-details").alias("group_id"), F.lit("Record details").alias("label"),
@@ -144,38 +149,46 @@ def _person_rows(rows: list[np.ndarray], cy, x, width, workspace: bool) -> list[
 
 def _infer(workspace: bool):
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sort_order", "field_id"], kind="stable").reset_index(drop=True)
-        box = pdf[["x", "y", "width", "height"]].astype(float)
-        usable = np.ones(len(pdf), dtype=bool) if workspace else box.notna().all(axis=1).to_numpy()
-        box = box.fillna(0.0)
-        h = np.maximum(SMALLEST_SIDE, box["height"].to_numpy())
-        cy_all, x_all = box["y"].to_numpy() + h / 2, box["x"].to_numpy()
+        ids = pdf["field_id"].to_numpy()
+        listed = np.lexsort((ids.astype(str) if ids.dtype == object else ids, pdf["sort_order"].to_numpy()))
+        box = pdf[["x", "y", "width", "height"]].to_numpy(dtype=float)[listed]
+        usable = np.ones(len(box), dtype=bool) if workspace else ~np.isnan(box).any(axis=1)
+        x_all, y_all, w_all, h_all = np.nan_to_num(box).T
+        h_all = np.maximum(SMALLEST_SIDE, h_all)
+        cy_all = y_all + h_all / 2
         order = np.flatnonzero(usable)
         order = order[np.lexsort((x_all[order], cy_all[order]))]
-        cy, x, w = cy_all[order], x_all[order], box["width"].to_numpy()[order]
-        rows = _rows_by_height(cy, x, h[order]) if len(order) else []
+        cy, x, w = cy_all[order], x_all[order], w_all[order]
+        rows = _rows_by_height(cy, x, h_all[order]) if len(order) else []
         people = _person_rows(rows, cy, x, w, workspace) if rows else []
 
-        number, position = np.zeros(len(pdf), dtype=int), np.empty(len(pdf), dtype=int)
+        number, position = np.zeros(len(box), dtype=int), np.empty(len(box), dtype=int)
         for n, row in enumerate(people, start=1):
             number[order[row]] = n
             position[order[row]] = np.arange(len(row))
         rest = np.flatnonzero(number == 0)
         if workspace:
             # Details follow the page: row by row when people were found, else by height.
-            walk = np.concatenate(rows) if people else np.arange(len(order))
-            rest = order[walk][number[order[walk]] == 0]
+            walk = order[np.concatenate(rows)] if people else order
+            rest = walk[number[walk] == 0]
         position[rest] = np.arange(len(rest))
         return pd.DataFrame({
-            "record_id": pdf["record_id"], "field_id": pdf["field_id"],
+            "record_id": pdf["record_id"].to_numpy(), "field_id": ids[listed],
             "number": number, "position": position, "found": bool(people),
         })
 
     return place
 
 
-def _inferred(fields: DataFrame, workspace: bool) -> DataFrame:
-    boxes = fields.select("record_id", F.col("id").alias("field_id"), "sort_order", "x", "y", "width", "height")
+# Three rows of three, or a row of six and one of four: fewer boxes never form a register.
+FEWEST_BOXES = 9
+
+
+def _inferred(sized: DataFrame, workspace: bool) -> DataFrame:
+    """Geometry for documents that can hold a register; the rest is placed by built-in ranking."""
+    possible = F.col("_size").between(FEWEST_BOXES, MAX_FIELDS)
+    boxes = sized.where(possible).select(
+        "record_id", F.col("id").alias("field_id"), "sort_order", "x", "y", "width", "height")
     out = T.StructType([
         boxes.schema["record_id"], boxes.schema["field_id"], T.StructField("number", T.IntegerType()),
         T.StructField("position", T.IntegerType()), T.StructField("found", T.BooleanType()),
@@ -185,11 +198,12 @@ def _inferred(fields: DataFrame, workspace: bool) -> DataFrame:
     person = number > 0
     kind, group_id, label = _named(number, "document-details", "Document details")
     whole = ~F.col("found")
-    return placed.select(
+    registers = placed.select(
         "record_id", "field_id", kind, "number",
         F.when(whole, "record-details").otherwise(group_id).alias("group_id"),
         F.when(whole & ~person, "Record details").otherwise(label).alias("label"), "position",
     )
+    return registers.select(*_OUT).unionByName(_whole_document(sized.where(~possible), workspace).select(*_OUT))
 
 
 def _with_size(fields: DataFrame) -> DataFrame:
@@ -207,10 +221,7 @@ def field_groups_inferred(fields: DataFrame, workspace: bool = False) -> DataFra
     A document may hold 450 fields; one that breaks this rule is no valid layout, so
     all its fields are listed under 'Record details' without entering a Python task.
     """
-    sized = _with_size(fields)
-    valid = sized.where(F.col("_size") <= MAX_FIELDS)
-    beyond = sized.where(F.col("_size") > MAX_FIELDS)
-    return _inferred(valid, workspace).select(*_OUT).unionByName(_whole_document(beyond).select(*_OUT))
+    return _inferred(_with_size(fields), workspace)
 
 
 def field_groups_workspace(fields: DataFrame) -> DataFrame:
@@ -221,9 +232,8 @@ def field_groups(fields: DataFrame) -> DataFrame:
     """Stored groups where the record has any, inferred ones elsewhere."""
     sized = _with_size(fields)
     stored = field_groups_persisted(sized.where("_stored"))
-    guessed = _inferred(sized.where(~F.col("_stored") & (F.col("_size") <= MAX_FIELDS)), workspace=False)
-    beyond = _whole_document(sized.where(~F.col("_stored") & (F.col("_size") > MAX_FIELDS)))
-    return stored.select(*_OUT).unionByName(guessed.select(*_OUT)).unionByName(beyond.select(*_OUT))
+    guessed = _inferred(sized.where(~F.col("_stored")), workspace=False)
+    return stored.select(*_OUT).unionByName(guessed)
 
 
 # ---------------------------------------------------------------- summaries

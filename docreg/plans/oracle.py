@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
                o_orderdate AS created_at
         FROM orders""",
     "fields": """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS record_id,
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS id, l_orderkey AS record_id,
                'Field ' || l_linenumber AS name,
                CASE WHEN l_partkey % 11 <> 0 THEN 'part ' || l_partkey END AS ocr_text,
                CASE WHEN l_suppkey % 19 <> 0 THEN 'part ' || (l_partkey + CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END)
@@ -73,9 +73,9 @@ VIEWS: dict[str, str] = {
                o_orderdate + to_days(CAST(j AS INT)) AS created_at
         FROM orders, (VALUES (0), (1)) AS twice(j)""",
     "items": """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, j) AS id, l_orderkey * 2 + j AS change_request_id,
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), j) AS id, l_orderkey * 2 + j AS change_request_id,
                CASE WHEN l_partkey % 17 = 0 THEN 'gone-' ELSE '' END
-                 || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS record_field_id,
+                 || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS record_field_id,
                'part ' || l_partkey AS current_value,
                CASE WHEN (l_suppkey + j) % 9 <> 0 THEN ' part ' || (l_partkey + j) ELSE ' ' END AS proposed_value
         FROM lineitem, (VALUES (0), (1)) AS twice(j)""",
@@ -793,7 +793,7 @@ _SQL: dict[str, str] = {
         SELECT id, nullif(trim(verified_value), '') AS normalised, {_CORRECTED} AS was_corrected, {_DIFFERS} AS rate_corrected,
           coalesce(least(100, greatest(0, ocr_confidence)), 0) AS confidence FROM fields""",
     "dirty_diff": """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CAST((l_returnflag <> 'R')::INT + (l_linenumber > 3)::INT AS INT) AS moved,
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS id, CAST((l_returnflag <> 'R')::INT + (l_linenumber > 3)::INT AS INT) AS moved,
           CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS flag_before, CASE WHEN l_returnflag <> 'R' THEN 'R' END AS flag_after,
           CASE WHEN l_linenumber > 3 THEN CAST(l_linenumber AS VARCHAR) END AS line_before, NULL::VARCHAR AS line_after FROM lineitem""",
     "filters_used": """

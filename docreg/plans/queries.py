@@ -19,7 +19,7 @@ from docreg.operators.scope import Scope, last_twelve_months
 from docreg.plans import dashboard
 from docreg.sources import files as files_source
 from docreg.sources import registry as registry_source
-from docreg.sources.derived import Registry
+from docreg.sources.derived import Registry, line_id
 from docreg.streaming.throttle import throttle_breaches
 
 NOW = datetime(2001, 6, 15, 4, 0, tzinfo=timezone.utc)
@@ -926,7 +926,7 @@ def corrections(r: Registry) -> DataFrame:
 def dirty_diff(r: Registry) -> DataFrame:
     """Line items before and after a price change, as diff maps."""
     line = r.table("lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        line_id().alias("id"),
         F.struct("l_returnflag", "l_linestatus", "l_linenumber").alias("old"),
         F.struct(F.lit("R").alias("l_returnflag"), "l_linestatus",
                  F.when(F.col("l_linenumber") > 3, None).otherwise(F.col("l_linenumber")).alias("l_linenumber")).alias("new"))

@@ -109,7 +109,7 @@ class Registry:
         part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
         grouped = F.col("l_orderkey") % 3 != 0
         return self.table("lineitem").select(
-            _line_id().alias("id"),
+            line_id().alias("id"),
             F.col("l_orderkey").alias("record_id"),
             F.concat(F.lit("Field "), line.cast("string")).alias("name"),
             F.when(part % 11 != 0, F.concat(F.lit("part "), part.cast("string"))).alias("ocr_text"),
@@ -154,9 +154,9 @@ class Registry:
         part, supp, j = F.col("l_partkey"), F.col("l_suppkey"), F.col("j")
         proposed = F.when((supp + j) % 9 != 0, F.concat(F.lit(" part "), (part + j).cast("string"))).otherwise(" ")
         return self.table("lineitem").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-            F.concat_ws("-", _line_id(), j.cast("string")).alias("id"),
+            F.concat_ws("-", line_id(), j.cast("string")).alias("id"),
             (F.col("l_orderkey") * 2 + j).alias("change_request_id"),
-            F.concat(F.when(part % 17 == 0, "gone-").otherwise(""), _line_id()).alias("record_field_id"),
+            F.concat(F.when(part % 17 == 0, "gone-").otherwise(""), line_id()).alias("record_field_id"),
             F.concat(F.lit("part "), part.cast("string")).alias("current_value"),
             proposed.alias("proposed_value"),
         )
@@ -303,8 +303,9 @@ def _plus(base: Column | str, amount: Column, unit: str) -> Column:
     return start + step
 
 
-def _line_id() -> Column:
-    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+def line_id() -> Column:
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return F.concat_ws("-", *[F.col(c).cast("long").cast("string") for c in keys])
 
 
 def _turn_file() -> Column:
