@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,19 +24,32 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance over word tokens.
 
     Each distinct word of the pair gets one character, so the built-in character
-    distance of the two encoded strings is the word distance.
+    distance of the two encoded strings is the word distance. The token lists are
+    bound once per row; inside a lambda they would be split again for every word.
     """
-    ref, hyp = words(reference), words(hypothesis)
-    distinct = F.array_distinct(F.concat(ref, hyp))
+    def compare(pair: Column) -> Column:
+        return _bind(F.array_distinct(F.concat(pair["ref"], pair["hyp"])), lambda d: _encoded_distance(pair, d))
+
+    return _bind(F.struct(words(reference).alias("ref"), words(hypothesis).alias("hyp")), compare)
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _encoded_distance(pair: Column, distinct: Column) -> Column:
+    ref, hyp = pair["ref"], pair["hyp"]
 
     def encode(tokens: Column) -> Column:
         code = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(distinct, w) + 255), 4, "0"))
         return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
+    too_many = F.raise_error(F.lit(f"more than {_MAX_WORDS} distinct words in one pair"))
     return (
         F.when(ref.isNull() | hyp.isNull(), F.lit(None).cast("int"))
         .when(F.size(ref) == 0, F.size(hyp))
         .when(F.size(hyp) == 0, F.size(ref))
-        .when(F.size(distinct) > _MAX_WORDS, F.raise_error(F.lit("more than 55040 distinct words in one pair")).cast("int"))
+        .when(F.size(distinct) > _MAX_WORDS, too_many.cast("int"))
         .otherwise(F.levenshtein(encode(ref), encode(hyp)))
     )

@@ -67,15 +67,20 @@ def throttle_breaches(attempts: DataFrame, limit: int = MAX_FAILURES, decay: flo
                         T.StructField("refused", T.BooleanType())])
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _Counter()
+        piece, counter = None, _Counter()
         for frame in frames:
-            frame["refused"] = counter.run(frame, limit, decay)
+            refused = []
+            for key, start, when, ok in zip(frame["key"], frame["_piece"], frame["_at"], frame["succeeded"]):
+                if piece != (key, start):
+                    piece, counter = (key, start), _Counter()
+                refused.append(counter.refuse(when, ok, limit, decay))
+            frame["refused"] = refused
             yield frame[["key", "id", "ts", "succeeded", "refused"]]
 
-    # Sorted inside the same partitioning, so the fold sees each piece in time order.
+    # A piece lies in one partition, in time order; the fold holds two numbers at a time.
     ordered = pieces.select("key", "_piece", "_at", "id", "ts", "succeeded").repartition("key", "_piece").sortWithinPartitions(
         "key", "_piece", "_at", "id")
-    return ordered.groupBy("key", "_piece").applyInPandas(fold, out)
+    return ordered.mapInPandas(fold, out)
 
 
 def throttle_stream(attempts: DataFrame, limit: int = MAX_FAILURES, decay: float = DECAY_SECONDS) -> DataFrame:
