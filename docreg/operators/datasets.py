@@ -9,8 +9,17 @@ from docreg.functions import values as V
 from docreg.operators.ordering import sample_array
 from docreg.sources.files import is_image
 
+# --- fixed values -----------------------------------------------------------
 SPLITS = ("train", "val", "test")
 MAX_REPORTED = 25
+NO_ROWS = "Manifest has no rows."
+MISSING_FILES = " manifest row(s) point at an image that is not on disk."
+NO_TRAINING_ROWS = "No usable training rows (every label is empty or UNREADABLE)."
+NO_VALIDATION_ROWS = "No usable validation rows. Training will run but cannot pick a best epoch."
+UNLISTED_FILES = " image(s) have no manifest row and will be ignored."
+EMPTY_LABELS, UNREADABLE_LABELS = " empty and ", " UNREADABLE label(s) will be skipped."
+UNKNOWN_SPLITS = "Rows with an unrecognised split were ignored: "
+# ----------------------------------------------------------------------------
 
 
 def _split() -> Column:
@@ -109,17 +118,16 @@ def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
         return F.concat(n(count).cast("string"), F.lit(tail))
 
     empty = n("manifest_rows") == 0
-    errors = F.when(empty, F.array(F.lit("Manifest has no rows."))).otherwise(F.array_compact(F.array(
-        F.when(n("missing_image_count") > 0, say("missing_image_count", " manifest row(s) point at an image that is not on disk.")),
-        F.when(n("usable_train") == 0, F.lit("No usable training rows (every label is empty or UNREADABLE).")),
+    errors = F.when(empty, F.array(F.lit(NO_ROWS))).otherwise(F.array_compact(F.array(
+        F.when(n("missing_image_count") > 0, say("missing_image_count", MISSING_FILES)),
+        F.when(n("usable_train") == 0, F.lit(NO_TRAINING_ROWS)),
     )))
     warnings = F.when(empty, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(
-        F.when(n("usable_val") == 0,
-               F.lit("No usable validation rows. Training will run but cannot pick a best epoch.")),
-        F.when(n("orphan_image_count") > 0, say("orphan_image_count", " image(s) have no manifest row and will be ignored.")),
+        F.when(n("usable_val") == 0, F.lit(NO_VALIDATION_ROWS)),
+        F.when(n("orphan_image_count") > 0, say("orphan_image_count", UNLISTED_FILES)),
         F.when(n("empty_labels") + n("unreadable_labels") > 0, F.concat(
-            say("empty_labels", " empty and "), say("unreadable_labels", " UNREADABLE label(s) will be skipped."))),
+            say("empty_labels", EMPTY_LABELS), say("unreadable_labels", UNREADABLE_LABELS))),
         F.when(F.size("unknown_splits") > 0, F.concat(
-            F.lit("Rows with an unrecognised split were ignored: "), F.array_join("unknown_splits", ", "))),
+            F.lit(UNKNOWN_SPLITS), F.array_join("unknown_splits", ", "))),
     )))
     return report.withColumns({"errors": errors, "warnings": warnings}).withColumn("ok", F.size("errors") == 0)

@@ -15,8 +15,15 @@ from docreg.operators.datasets import split_scope
 from docreg.operators.ordering import top_k
 
 
-def pair_distances(pairs: DataFrame) -> DataFrame:
-    """Adds char_errors, chars, word_errors, words, exact to (reference, hypothesis)."""
+def pair_distances(pairs: DataFrame, spread: int | None = None) -> DataFrame:
+    """Adds char_errors, chars, word_errors, words, exact to (reference, hypothesis).
+
+    The distance is quadratic in the text length, so a few hundred kilobytes already keep
+    a core busy for seconds. ``spread`` deals the pairs over that many tasks first; leave
+    it out when the input has enough splits.
+    """
+    if spread:
+        pairs = pairs.repartition(spread)
     ref, hyp = F.col("reference"), F.col("hypothesis")
     same = ref == hyp
     return pairs.withColumns({
@@ -28,10 +35,10 @@ def pair_distances(pairs: DataFrame) -> DataFrame:
     })
 
 
-def corpus_metrics(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def corpus_metrics(pairs: DataFrame, by: list[str] | None = None, spread: int | None = None) -> DataFrame:
     """Corpus CER, WER and exact-match rate: ratios of sums, 0.0 without reference units."""
     by = by or []
-    sums = pair_distances(pairs).groupBy(*by).agg(
+    sums = pair_distances(pairs, spread).groupBy(*by).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("char_errors", "chars", "word_errors", "words")],
         F.count_if("exact").alias("exact"), F.count("*").alias("total"))
 

@@ -6,6 +6,8 @@ label, position. No group is ever collected outside the 450-field rule.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,37 +149,57 @@ def _person_rows(rows: list[np.ndarray], cy, x, width, workspace: bool) -> list[
     return [people[i] for i in max(runs, key=len)] if runs else []
 
 
+def _place(box: np.ndarray, workspace: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(number, position, found) of one document's boxes (x, y, width, height) in sort order."""
+    usable = np.ones(len(box), dtype=bool) if workspace else ~np.isnan(box).any(axis=1)
+    x_all, y_all, w_all, h_all = np.nan_to_num(box).T
+    h_all = np.maximum(SMALLEST_SIDE, h_all)
+    cy_all = y_all + h_all / 2
+    order = np.flatnonzero(usable)
+    order = order[np.lexsort((x_all[order], cy_all[order]))]
+    cy, x, w = cy_all[order], x_all[order], w_all[order]
+    rows = _rows_by_height(cy, x, h_all[order]) if len(order) else []
+    people = _person_rows(rows, cy, x, w, workspace) if rows else []
+
+    number, position = np.zeros(len(box), dtype=np.int32), np.empty(len(box), dtype=np.int32)
+    for n, row in enumerate(people, start=1):
+        number[order[row]] = n
+        position[order[row]] = np.arange(len(row))
+    rest = np.flatnonzero(number == 0)
+    if workspace:
+        # Details follow the page: row by row when people were found, else by height.
+        walk = order[np.concatenate(rows)] if people else order
+        rest = walk[number[walk] == 0]
+    position[rest] = np.arange(len(rest))
+    return number, position, bool(people)
+
+
 def _infer(workspace: bool):
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["field_id"].to_numpy()
-        listed = np.lexsort((ids.astype(str) if ids.dtype == object else ids, pdf["sort_order"].to_numpy()))
-        box = pdf[["x", "y", "width", "height"]].to_numpy(dtype=float)[listed]
-        usable = np.ones(len(box), dtype=bool) if workspace else ~np.isnan(box).any(axis=1)
-        x_all, y_all, w_all, h_all = np.nan_to_num(box).T
-        h_all = np.maximum(SMALLEST_SIDE, h_all)
-        cy_all = y_all + h_all / 2
-        order = np.flatnonzero(usable)
-        order = order[np.lexsort((x_all[order], cy_all[order]))]
-        cy, x, w = cy_all[order], x_all[order], w_all[order]
-        rows = _rows_by_height(cy, x, h_all[order]) if len(order) else []
-        people = _person_rows(rows, cy, x, w, workspace) if rows else []
-
-        number, position = np.zeros(len(box), dtype=int), np.empty(len(box), dtype=int)
-        for n, row in enumerate(people, start=1):
-            number[order[row]] = n
-            position[order[row]] = np.arange(len(row))
-        rest = np.flatnonzero(number == 0)
-        if workspace:
-            # Details follow the page: row by row when people were found, else by height.
-            walk = order[np.concatenate(rows)] if people else order
-            rest = walk[number[walk] == 0]
-        position[rest] = np.arange(len(rest))
-        return pd.DataFrame({
-            "record_id": pdf["record_id"].to_numpy(), "field_id": ids[listed],
-            "number": number, "position": position, "found": bool(people),
-        })
-
-    return place
+    """Batch function over rows sorted by document; a document cut by a batch edge is carried over."""
+    def complete(frame: pd.DataFrame) -> pd.DataFrame:
+        boxes = frame[["x", "y", "width", "height"]].to_numpy(dtype=float)
+        ids = frame["record_id"].to_numpy()
+        edges = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        number, position = np.empty(len(frame), dtype=np.int32), np.empty(len(frame), dtype=np.int32)
+        found = np.empty(len(frame), dtype=bool)
+        for part in np.split(np.arange(len(frame)), edges):
+            number[part], position[part], found[part[0]:part[-1] + 1] = _place(boxes[part], workspace)
+        return frame[["record_id", "field_id"]].assign(number=number, position=position, found=found)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            ids = frame["record_id"].to_numpy()
+            start = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+            held = frame.iloc[start:]
+            if start:
+                yield complete(frame.iloc[:start])
+        if held is not None and len(held):
+            yield complete(held)
+
+    return run
 
 
 # Three rows of three, or a row of six and one of four: fewer boxes never form a register.
@@ -193,7 +215,8 @@ def _inferred(sized: DataFrame, workspace: bool) -> DataFrame:
         boxes.schema["record_id"], boxes.schema["field_id"], T.StructField("number", T.IntegerType()),
         T.StructField("position", T.IntegerType()), T.StructField("found", T.BooleanType()),
     ])
-    placed = boxes.groupBy("record_id").applyInPandas(_infer(workspace), out)
+    ordered = boxes.repartition("record_id").sortWithinPartitions("record_id", "sort_order", "field_id")
+    placed = ordered.mapInPandas(_infer(workspace), out)
     number = F.col("number")
     person = number > 0
     kind, group_id, label = _named(number, "document-details", "Document details")

@@ -17,6 +17,22 @@ SCAN_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "webp", "bmp", "tiff")
 SAMPLE_EXTENSIONS = (*SCAN_EXTENSIONS, "tif")
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 WEIGHT_FILES = ("model.safetensors", "pytorch_model.bin")
+REPORT_ERRORS = {
+    "schema_version": "schema_version must be 1",
+    "test_split": "split must be 'test'",
+    "samples": "sample_count must be positive",
+    "dataset": "dataset is required",
+    "manifest_digest": "manifest_sha256 must be a SHA-256 digest",
+    "weights_name": "weights_file must name the model weights",
+    "weights_digest": "weights_sha256 must be a SHA-256 digest",
+    "weights_missing": " is missing",
+    "weights_differ": "weights_sha256 does not match the uploaded checkpoint",
+    "time_format": "evaluated_at must be an ISO time",
+    "time_zone": "evaluated_at must include a timezone",
+    "metrics": "metrics is required",
+    "rates": "CER and WER must be finite non-negative rates",
+    "exact": "exact_match must be between 0 and 1",
+}
 # ----------------------------------------------------------------------------
 
 
@@ -180,20 +196,20 @@ def validate_reports(reports: DataFrame, digests: DataFrame) -> DataFrame:
 
     error = F.coalesce(
         F.col("read_error") if "read_error" in reports.columns else F.lit(None).cast("string"),
-        unless(F.col("schema_version") == "1", "schema_version must be 1"),
-        unless(F.col("split") == "test", "split must be 'test'"),
-        unless(samples >= 1, "sample_count must be positive"),
-        unless(F.trim("dataset") != "", "dataset is required"),
-        unless(lower["manifest_sha256"].rlike(hex64), "manifest_sha256 must be a SHA-256 digest"),
-        unless(F.col("_weights").isin(*WEIGHT_FILES), "weights_file must name the model weights"),
-        unless(lower["weights_sha256"].rlike(hex64), "weights_sha256 must be a SHA-256 digest"),
-        unless(F.col("_sha").isNotNull(), F.concat("_weights", F.lit(" is missing"))),
-        unless(F.col("_sha") == lower["weights_sha256"], "weights_sha256 does not match the uploaded checkpoint"),
-        unless(moment.isNotNull(), "evaluated_at must be an ISO time"),
-        unless(stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), "evaluated_at must include a timezone"),
-        unless(F.col("metrics").isNotNull(), "metrics is required"),
-        unless((cer >= 0) & (wer >= 0), "CER and WER must be finite non-negative rates"),
-        unless(exact.between(0, 1), "exact_match must be between 0 and 1"),
+        unless(F.col("schema_version") == "1", REPORT_ERRORS["schema_version"]),
+        unless(F.col("split") == "test", REPORT_ERRORS["test_split"]),
+        unless(samples >= 1, REPORT_ERRORS["samples"]),
+        unless(F.trim("dataset") != "", REPORT_ERRORS["dataset"]),
+        unless(lower["manifest_sha256"].rlike(hex64), REPORT_ERRORS["manifest_digest"]),
+        unless(F.col("_weights").isin(*WEIGHT_FILES), REPORT_ERRORS["weights_name"]),
+        unless(lower["weights_sha256"].rlike(hex64), REPORT_ERRORS["weights_digest"]),
+        unless(F.col("_sha").isNotNull(), F.concat("_weights", F.lit(REPORT_ERRORS["weights_missing"]))),
+        unless(F.col("_sha") == lower["weights_sha256"], REPORT_ERRORS["weights_differ"]),
+        unless(moment.isNotNull(), REPORT_ERRORS["time_format"]),
+        unless(stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), REPORT_ERRORS["time_zone"]),
+        unless(F.col("metrics").isNotNull(), REPORT_ERRORS["metrics"]),
+        unless((cer >= 0) & (wer >= 0), REPORT_ERRORS["rates"]),
+        unless(exact.between(0, 1), REPORT_ERRORS["exact"]),
     )
     ok = error.isNull()
     return joined.select(

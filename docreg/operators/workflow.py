@@ -11,8 +11,13 @@ from docreg.functions import values as V
 from docreg.functions.prefix import ranked, running
 from docreg.schemas import MAX_FIELDS
 
+# --- fixed values -----------------------------------------------------------
 NOTE_MIN, NOTE_MAX = 5, 2000
-REASON_MIN, REASON_MAX = 10, 2000
+REQUESTED = "Requested %d change(s) on record #%s."
+APPROVED = "Approved change request #%s and applied %d value(s)."
+CLOSING_VERBS = {"rejected": "Rejected", "withdrawn": "Withdrew"}
+REGISTRY_NUMBER = "Registry Number"
+# ----------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -191,7 +196,7 @@ def approve_requests(requests: DataFrame, items: DataFrame, fields: DataFrame, r
         {"_before": ("last", "_step")}, inclusive=False).join(stored, "record_id", "left")
     number_changes = numbered.select(
         "request_id", "record_id", F.lit(None).cast(items.schema["id"].dataType).alias("item_id"),
-        F.lit("Registry Number").alias("name"),
+        F.lit(REGISTRY_NUMBER).alias("name"),
         F.when(F.col("_before").isNull(), F.col("_now")).otherwise(F.col("_before.proposed_registry_number"))
         .alias("old_value"),
         F.col("proposed_registry_number").alias("new_value"))
@@ -311,7 +316,7 @@ def opened_audit(opened: Opened) -> DataFrame:
     return opened.requests.select(
         F.lit("change_request.opened").alias("action"), F.lit("ChangeRequest").alias("auditable_type"),
         F.col("proposal_id").alias("auditable_id"), F.col("requested_by").alias("user_id"),
-        F.format_string("Requested %d change(s) on record #%s.", n, F.col("record_id").cast("string")).alias("description"),
+        F.format_string(REQUESTED, n, F.col("record_id").cast("string")).alias("description"),
         F.lit(None).cast("map<string,string>").alias("old_values"),
         F.create_map(
             F.lit("record_id"), F.col("record_id").cast("string"),
@@ -354,7 +359,7 @@ def approved_audit(approved: Approved) -> DataFrame:
         .join(maps, "request_id", "left").select(
             F.lit("change_request.approved").alias("action"), F.lit("Record").alias("auditable_type"),
             "auditable_id", "user_id",
-            F.format_string("Approved change request #%s and applied %d value(s).",
+            F.format_string(APPROVED,
                             F.col("request_id").cast("string"), F.coalesce("_n", F.lit(0))).alias("description"),
             "old_values", "new_values",
         )
@@ -363,7 +368,7 @@ def approved_audit(approved: Approved) -> DataFrame:
 
 def closed_audit(requests: DataFrame, outcomes: DataFrame, kind: str) -> DataFrame:
     """Trail rows of rejected or withdrawn requests (``requests`` after the decision)."""
-    verb = {"rejected": "Rejected", "withdrawn": "Withdrew"}[kind]
+    verb = CLOSING_VERBS[kind]
     done = outcomes.where(F.col("outcome") == kind).select(F.col("request_id").alias("id")).distinct()
     note = F.col("decision_note") if kind == "rejected" else F.lit(None).cast("string")
     actor = F.col("reviewed_by") if kind == "rejected" else F.col("requested_by")

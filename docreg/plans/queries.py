@@ -782,6 +782,10 @@ def _pairs(r: Registry) -> DataFrame:
     return conv.join(read, "filename")
 
 
+def _tasks(r: Registry) -> int:
+    return 4 * r.spark.sparkContext.defaultParallelism
+
+
 def _field_pairs(r: Registry) -> DataFrame:
     return r.record_fields.select(
         "record_id", F.col("verified_value").alias("reference"), F.coalesce("ocr_text", F.lit("")).alias("hypothesis"))
@@ -794,12 +798,12 @@ def _rounded(df: DataFrame, *by: str) -> DataFrame:
 
 @query
 def corpus_metrics(r: Registry) -> DataFrame:
-    return _rounded(evaluation.corpus_metrics(_pairs(r)))
+    return _rounded(evaluation.corpus_metrics(_pairs(r), spread=_tasks(r)))
 
 
 @query
 def corpus_metrics_by_role(r: Registry) -> DataFrame:
-    return _rounded(evaluation.corpus_metrics(_pairs(r), ["role"]), "role")
+    return _rounded(evaluation.corpus_metrics(_pairs(r), ["role"], spread=_tasks(r)), "role")
 
 
 @query
@@ -809,7 +813,7 @@ def corpus_metrics_fields(r: Registry) -> DataFrame:
 
 @query
 def pair_distances(r: Registry) -> DataFrame:
-    out = evaluation.pair_distances(_pairs(r))
+    out = evaluation.pair_distances(_pairs(r), spread=_tasks(r))
     return out.select("filename", *[F.col(c).cast("long").alias(c) for c in ("char_errors", "chars", "words")], "exact")
 
 
@@ -832,7 +836,7 @@ def evaluate_predictions_rows(r: Registry) -> DataFrame:
 def compare_models(r: Registry) -> DataFrame:
     """Readings of one half of the corpus against the fields of the registry."""
     out = evaluation.compare_models(
-        evaluation.corpus_metrics(_pairs(r)), evaluation.corpus_metrics(_field_pairs(r)))
+        evaluation.corpus_metrics(_pairs(r), spread=_tasks(r)), evaluation.corpus_metrics(_field_pairs(r)))
     return out.select("metric", F.round("base", 9).alias("base"), F.round("tuned", 9).alias("tuned"), "verdict")
 
 
