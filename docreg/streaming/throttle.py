@@ -41,9 +41,6 @@ class _Counter:
             self.failures += 1
         return False
 
-    def run(self, frame: pd.DataFrame, limit: int, decay: float) -> list[bool]:
-        return [self.refuse(t, ok, limit, decay) for t, ok in zip(frame["_at"], frame["succeeded"])]
-
 
 def _prepare(attempts: DataFrame) -> DataFrame:
     return attempts.select(
@@ -83,9 +80,15 @@ def throttle_breaches(attempts: DataFrame, limit: int = MAX_FAILURES, decay: flo
     return ordered.mapInPandas(fold, out)
 
 
-def throttle_stream(attempts: DataFrame, limit: int = MAX_FAILURES, decay: float = DECAY_SECONDS) -> DataFrame:
-    """The same fold on a stream; the state of a key is one time and one count."""
-    keyed = _prepare(attempts)
+def throttle_stream(attempts: DataFrame, limit: int = MAX_FAILURES, decay: float = DECAY_SECONDS,
+                    lateness: str = "10 minutes") -> DataFrame:
+    """The same fold on a stream; the state of a key is one time and one count.
+
+    State is dropped in event time, once the watermark passes the end of the counter.
+    A key's attempts are taken in time order within a batch and must reach the stream in
+    order across batches, as a sign-in log does.
+    """
+    keyed = _prepare(attempts).withWatermark("ts", lateness)
     out = T.StructType([keyed.schema["key"], keyed.schema["id"], keyed.schema["ts"], keyed.schema["succeeded"],
                         T.StructField("refused", T.BooleanType())])
     state_type = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("failures", T.IntegerType())])
@@ -96,10 +99,14 @@ def throttle_stream(attempts: DataFrame, limit: int = MAX_FAILURES, decay: float
             return
         counter = _Counter(*state.get) if state.exists else _Counter()
         batch = pd.concat(list(frames)).sort_values(["_at", "id"], kind="stable")
-        batch["refused"] = counter.run(batch, limit, decay)
-        state.update((float(counter.start), int(counter.failures)))
-        state.setTimeoutDuration(int(decay * 1000) + 1)
+        batch["refused"] = [counter.refuse(t, ok, limit, decay) for t, ok in zip(batch["_at"], batch["succeeded"])]
+        expiry = int((counter.start + decay) * 1000) + 1
+        if counter.failures and expiry > state.getCurrentWatermarkMs():
+            state.update((float(counter.start), int(counter.failures)))
+            state.setTimeoutTimestamp(expiry)
+        elif state.exists:
+            state.remove()
         yield batch[["key", "id", "ts", "succeeded", "refused"]]
 
     return keyed.groupBy("key").applyInPandasWithState(
-        fold, out, state_type, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        fold, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
