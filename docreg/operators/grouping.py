@@ -32,30 +32,51 @@ def _named(number: Column, details_id: str, details_label: str) -> list[Column]:
     ]
 
 
-def field_groups_persisted(fields: DataFrame) -> DataFrame:
-    """Stored person groups; fields without one form the document details."""
+def _with_size(fields: DataFrame) -> DataFrame:
+    """Adds ``_size`` and ``_stored`` of the record, from map-side partial counts."""
+    per_record = fields.groupBy("record_id").agg(
+        F.count("*").alias("_size"), F.bool_or(F.col("person_group").isNotNull()).alias("_stored"))
+    return fields.join(per_record, "record_id", "inner")
+
+
+def _ranked_within(sized: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``_rank`` per key. A plain window serves records inside the 450-field rule, whose rows
+    are already together; the few beyond it are ranked piece by piece. ``order`` ends in field_id.
+    """
+    inside = sized.where(F.col("_size") <= MAX_FIELDS).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    is_text = isinstance(sized.schema["field_id"].dataType, T.StringType)
+    piece = F.substring("field_id", 1, 8) if is_text else F.floor(F.col("field_id") / 1024)
+    beyond = ranked(sized.where(F.col("_size") > MAX_FIELDS), keys, [F.col(c) for c in order],
+                    F.struct(*order[:-1], piece), "_rank")
+    return inside.unionByName(beyond)
+
+
+def _persisted(sized: DataFrame) -> DataFrame:
     number = F.coalesce("person_group", F.lit(0)).cast("int")
     place = F.when(F.col("person_group").isNull(), F.col("sort_order")).otherwise(
         F.coalesce("person_field_order", "sort_order"))
-    work = fields.select("record_id", F.col("id").alias("field_id"), number.alias("number"),
-                         place.cast("long").alias("_place"), "sort_order")
-    placed = ranked(work, ["record_id", "number"], [F.col("_place"), F.col("sort_order"), F.col("field_id")],
-                    F.floor(F.col("_place") / 64), "_rank")
+    work = sized.select("record_id", F.col("id").alias("field_id"), number.alias("number"),
+                        place.cast("long").alias("_place"), "sort_order", "_size")
+    placed = _ranked_within(work, ["record_id", "number"], ["_place", "sort_order", "field_id"])
     kind, group_id, label = _named(F.col("number"), "document-details", "Document details")
     return placed.select("record_id", "field_id", kind, "number", group_id, label,
                          (F.col("_rank") - 1).cast("int").alias("position"))
 
 
-def _whole_document(fields: DataFrame, by_height: bool = False) -> DataFrame:
+def field_groups_persisted(fields: DataFrame) -> DataFrame:
+    """Stored person groups; fields without one form the document details."""
+    return _persisted(_with_size(fields))
+
+
+def _whole_document(sized: DataFrame, by_height: bool = False) -> DataFrame:
     """Every field in one 'Record details' group, in sort order or down the page."""
     zero = F.lit(0.0)
     centre = F.coalesce("y", zero) + F.greatest(F.lit(SMALLEST_SIDE), F.coalesce("height", zero)) / 2
-    work = fields.select("record_id", F.col("id").alias("field_id"), "sort_order",
-                         centre.alias("_cy"), F.coalesce("x", zero).alias("_x"))
-    order, bucket = [F.col("sort_order"), F.col("field_id")], F.floor(F.col("sort_order") / 64)
-    if by_height:
-        order, bucket = [F.col("_cy"), F.col("_x"), *order], F.floor(F.col("_cy") * 64)
-    placed = ranked(work, ["record_id"], order, bucket, "_rank")
+    work = sized.select("record_id", F.col("id").alias("field_id"), "sort_order", "_size",
+                        centre.alias("_cy"), F.coalesce("x", zero).alias("_x"))
+    order = ["_cy", "_x", "sort_order", "field_id"] if by_height else ["sort_order", "field_id"]
+    placed = _ranked_within(work, ["record_id"], order)
     return placed.select(
         "record_id", "field_id", F.lit("details").alias("kind"), F.lit(0).alias("number"),
         F.lit("record-details").alias("group_id"), F.lit("Record details").alias("label"),
@@ -229,13 +250,6 @@ def _inferred(sized: DataFrame, workspace: bool) -> DataFrame:
     return registers.select(*_OUT).unionByName(_whole_document(sized.where(~possible), workspace).select(*_OUT))
 
 
-def _with_size(fields: DataFrame) -> DataFrame:
-    """Adds ``_size`` and ``_stored`` of the record, from map-side partial counts."""
-    per_record = fields.groupBy("record_id").agg(
-        F.count("*").alias("_size"), F.bool_or(F.col("person_group").isNotNull()).alias("_stored"))
-    return fields.join(per_record, "record_id", "inner")
-
-
 def field_groups_inferred(fields: DataFrame, workspace: bool = False) -> DataFrame:
     """People inferred from box coordinates.
 
@@ -254,7 +268,7 @@ def field_groups_workspace(fields: DataFrame) -> DataFrame:
 def field_groups(fields: DataFrame) -> DataFrame:
     """Stored groups where the record has any, inferred ones elsewhere."""
     sized = _with_size(fields)
-    stored = field_groups_persisted(sized.where("_stored"))
+    stored = _persisted(sized.where("_stored"))
     guessed = _inferred(sized.where(~F.col("_stored")), workspace=False)
     return stored.select(*_OUT).unionByName(guessed)
 

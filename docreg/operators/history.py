@@ -20,31 +20,49 @@ def best_epoch(history: DataFrame) -> DataFrame:
     ).select("run_id", F.col("_b.epoch").alias("best_epoch"), F.col("_b.loss").alias("best_loss"), "epochs")
 
 
-def _with_progress(history: DataFrame) -> DataFrame:
-    """Adds selection_loss, improved, and the running count of epochs."""
-    kind = history.groupBy("run_id").agg((F.count("val_loss") > 0).alias("_validated"))
-    chosen = history.join(kind, "run_id", "inner").withColumn(
-        "selection_loss", F.when(F.col("_validated"), F.col("val_loss")).otherwise(F.col("train_loss"))
-    ).drop("_validated").withColumn("_one", F.lit(1).cast("long"))
-    piece, order = F.floor(F.col("epoch") / _PIECE), [F.col("epoch")]
-    best = running(chosen, ["run_id"], order, piece, {"_best": ("min", "selection_loss")}, inclusive=False)
-    better = F.col("selection_loss").isNotNull() & (F.col("_best").isNull() | (F.col("selection_loss") < F.col("_best")))
-    flagged = best.withColumn("improved", better)
-    return running(flagged, ["run_id"], order, piece, {"_nth": ("sum", "_one")}).drop("_one", "_best")
+def _improvements(history: DataFrame) -> DataFrame:
+    """Adds _nth (1-based) and, per loss, whether the epoch beats every earlier one.
+
+    Both losses are followed side by side; which of them counts is a property of the
+    whole run and is settled when the run is summed up, so no row waits for a join.
+    """
+    numbered = history.withColumn("_one", F.lit(1).cast("long"))
+    before = running(
+        numbered, ["run_id"], [F.col("epoch")], F.floor(F.col("epoch") / _PIECE),
+        {"_best_val": ("min", "val_loss"), "_best_train": ("min", "train_loss"), "_prior": ("sum", "_one")}, inclusive=False)
+
+    def better(loss: str, best: str) -> F.Column:
+        value, low = F.col(loss), F.col(best)
+        return F.coalesce(value.isNotNull() & (low.isNull() | (value < low)), F.lit(False))
+
+    return before.select(
+        *history.columns, (F.coalesce("_prior", F.lit(0)) + 1).alias("_nth"),
+        better("val_loss", "_best_val").alias("_val_better"), better("train_loss", "_best_train").alias("_train_better"))
 
 
 def checkpoints(history: DataFrame) -> DataFrame:
-    """Epochs at which a checkpoint is written: each strict improvement."""
-    return _with_progress(history).where("improved").select("run_id", "epoch", "selection_loss")
+    """Epochs at which a checkpoint is written: each strict improvement of the selection loss."""
+    kinds = history.groupBy("run_id").agg((F.count("val_loss") > 0).alias("_validated"))
+    moved = _improvements(history).where("_val_better or _train_better").join(kinds, "run_id", "inner")
+    return moved.where(F.when(F.col("_validated"), F.col("_val_better")).otherwise(F.col("_train_better"))).select(
+        "run_id", "epoch", F.when(F.col("_validated"), F.col("val_loss")).otherwise(F.col("train_loss")).alias("selection_loss"))
 
 
 def early_stop(history: DataFrame, patience: int) -> DataFrame:
     """Epoch at which the streak without improvement reaches ``patience``; NULL if it never does."""
-    progress = _with_progress(history).withColumn("_hit", F.when(F.col("improved"), F.col("_nth")))
-    streaks = running(progress, ["run_id"], [F.col("epoch")], F.floor(F.col("epoch") / _PIECE), {"_last": ("max", "_hit")})
-    streak = F.col("_nth") - F.coalesce("_last", F.lit(0))
+    marked = _improvements(history).withColumns({
+        "_val_hit": F.when(F.col("_val_better"), F.col("_nth")), "_train_hit": F.when(F.col("_train_better"), F.col("_nth"))})
+    streaks = running(
+        marked, ["run_id"], [F.col("epoch")], F.floor(F.col("epoch") / _PIECE),
+        {"_val_last": ("max", "_val_hit"), "_train_last": ("max", "_train_hit")})
+
+    def stop(last: str) -> F.Column:
+        streak = F.col("_nth") - F.coalesce(last, F.lit(0))
+        return F.min(F.when(streak >= patience, F.col("epoch")))
+
     return streaks.groupBy("run_id").agg(
-        F.min(F.when(streak >= patience, F.col("epoch"))).alias("stop_epoch"), F.count("*").alias("epochs"))
+        F.when(F.count("val_loss") > 0, stop("_val_last")).otherwise(stop("_train_last")).alias("stop_epoch"),
+        F.count("*").alias("epochs"))
 
 
 def eta(history: DataFrame, total_epochs: int) -> DataFrame:
