@@ -17,6 +17,7 @@ from docreg.operators import (
 )
 from docreg.operators.scope import Scope, last_twelve_months
 from docreg.plans import dashboard
+from docreg.session import ship_package
 from docreg.sources import files as files_source
 from docreg.sources import registry as registry_source
 from docreg.sources.derived import Registry, line_id
@@ -36,6 +37,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(fn: Callable[[Registry], DataFrame]) -> Callable[[Registry], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return fn(Registry(spark, sf_dir))
 
     QUERIES[fn.__name__] = run
