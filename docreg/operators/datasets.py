@@ -87,8 +87,17 @@ def dataset_totals(manifest: DataFrame, images: DataFrame) -> DataFrame:
     return files.withColumn("manifest_rows", manifest.agg(F.count("*")).scalar())
 
 
+def unknown_splits(manifest: DataFrame) -> DataFrame:
+    """Distinct split names that are none of the known ones."""
+    odd = _rows(manifest).where(~F.col("split").isin(*SPLITS))
+    return odd.select(F.when(F.col("split") == "", "(blank)").otherwise(F.col("split")).alias("name")).distinct()
+
+
 def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """One-row report: counts, first 25 missing and orphan paths, errors, warnings, ok."""
+    """One-row report: counts, errors, warnings, ok, and the first 25 missing paths, orphan
+    paths and unknown splits. The full lists are ``missing_images``, ``orphan_images`` and
+    ``unknown_splits``.
+    """
     rows = _rows(manifest)
     known = F.col("split").isin(*SPLITS)
     text = V.strip_unicode(F.coalesce("label", F.lit("")))
@@ -100,9 +109,8 @@ def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
         *[F.count_if(usable & (F.col("split") == s)).alias(f"usable_{s}") for s in SPLITS],
         F.count_if(known & blank).alias("empty_labels"),
         F.count_if(known & unreadable).alias("unreadable_labels"),
-        F.array_sort(F.collect_set(F.when(~known, F.when(F.col("split") == "", "(blank)").otherwise(F.col("split")))))
-        .alias("unknown_splits"),
     )
+    unknown = unknown_splits(manifest)
     lost, orphans = missing_images(manifest, images), orphan_images(manifest, images)
     path = F.concat_ws("/", "split", "filename")
     position = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
@@ -110,6 +118,8 @@ def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
         "missing_image_count": lost.agg(F.count("*")).scalar(),
         "orphan_image_count": orphans.agg(F.count("*")).scalar(),
         "missing_images": sample_array(lost.where("filename <> ''"), path, [F.col("ord")], MAX_REPORTED),
+        "unknown_split_count": unknown.agg(F.count("*")).scalar(),
+        "unknown_splits": sample_array(unknown, F.col("name"), [F.col("name")], MAX_REPORTED),
         "orphan_images": sample_array(orphans, path, [position, F.col("filename")], MAX_REPORTED),
     })
     n = F.col
@@ -128,6 +138,7 @@ def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
         F.when(n("empty_labels") + n("unreadable_labels") > 0, F.concat(
             say("empty_labels", EMPTY_LABELS), say("unreadable_labels", UNREADABLE_LABELS))),
         F.when(F.size("unknown_splits") > 0, F.concat(
-            F.lit(UNKNOWN_SPLITS), F.array_join("unknown_splits", ", "))),
+            F.lit(UNKNOWN_SPLITS), F.array_join("unknown_splits", ", "),
+            F.when(n("unknown_split_count") > MAX_REPORTED, F.lit(", ...")).otherwise(F.lit("")))),
     )))
     return report.withColumns({"errors": errors, "warnings": warnings}).withColumn("ok", F.size("errors") == 0)

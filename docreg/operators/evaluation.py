@@ -94,10 +94,10 @@ def scored_rows(manifest: DataFrame, images: DataFrame, predictions: DataFrame,
 
 
 def evaluate_predictions(manifest: DataFrame, images: DataFrame, predictions: DataFrame, split: str,
-                         max_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+                         max_rows: int = 100, spread: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics, rows): rates with four decimals, and the first rows by file name."""
     rows = scored_rows(manifest, images, predictions, split)
-    m = corpus_metrics(rows.withColumnRenamed("prediction", "hypothesis"))
+    m = corpus_metrics(rows.withColumnRenamed("prediction", "hypothesis"), spread=spread)
     metrics = m.select(
         F.bround("cer", 4).alias("cer"), F.bround("wer", 4).alias("wer"),
         F.bround("accuracy", 4).alias("exact_match"), "exact", "total")

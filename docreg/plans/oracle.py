@@ -90,7 +90,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN s_suppkey % 5 <> 0 THEN abs(s_acctbal) / 10000.0::DOUBLE END AS cer,
                CASE WHEN s_suppkey % 5 <> 0 THEN abs(s_acctbal) / 10000.0::DOUBLE * 1.5::DOUBLE END AS wer,
                CASE WHEN s_suppkey % 5 <> 0 THEN 1 - abs(s_acctbal) / 10000.0::DOUBLE END AS exact_match,
-               CASE WHEN s_suppkey % 5 <> 0 THEN 'civil-forms' END AS evaluation_dataset,
+               CASE WHEN s_suppkey % 5 <> 0 THEN 'form-scans' END AS evaluation_dataset,
                CASE WHEN s_suppkey % 5 <> 0 THEN CASE WHEN s_suppkey % 7 = 3 THEN 'val' ELSE 'test' END END AS evaluation_split,
                CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 37 END AS evaluation_sample_count,
                CASE WHEN s_suppkey % 5 <> 0 THEN sha256(s_name) END AS evaluation_manifest_sha256,
@@ -669,7 +669,7 @@ _SQL: dict[str, str] = {
           FROM remote r FULL JOIN (SELECT * FROM ocr_models WHERE disk_deleted_at IS NULL) m ON m.key = r.key),
         o AS (SELECT *, row_number() OVER (ORDER BY NOT is_active, CASE WHEN is_active THEN false ELSE NOT has_data END, late, key) AS rn FROM l)
         SELECT key, label, is_active, has_data, CASE WHEN has_data THEN 'Locked test set' ELSE 'No benchmark' END AS source_label,
-          CASE WHEN has_data THEN 'civil-forms · test · ' || format('{:,}', n) || ' samples · evaluated ' || strftime(done, '%b %-d, %Y')
+          CASE WHEN has_data THEN 'form-scans · test · ' || format('{:,}', n) || ' samples · evaluated ' || strftime(done, '%b %-d, %Y')
             ELSE 'Upload a model ZIP containing a valid evaluation-report.json from the locked test set.' END AS evidence,
           CASE WHEN has_data THEN n ELSE 0 END AS field_count, CASE WHEN has_data THEN round(greatest(0, least(1, 1 - cer)) * 100, 1) END AS character_accuracy,
           CASE WHEN has_data THEN round(greatest(0, least(1, 1 - wer)) * 100, 1) END AS word_accuracy,
@@ -714,13 +714,15 @@ _SQL: dict[str, str] = {
               FROM r WHERE NOT known), '') AS unknown_splits FROM r),
         miss AS (SELECT * FROM r WHERE known AND NOT EXISTS (SELECT 1 FROM images i WHERE i.split = r.split AND i.filename = r.filename)),
         orph AS (SELECT * FROM images i WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.split = i.split AND r.filename = i.filename)),
-        l AS (SELECT (SELECT count(*) FROM miss) AS missing_image_count, (SELECT count(*) FROM orph) AS orphan_image_count,
+        l AS (SELECT (SELECT count(DISTINCT split) FROM r WHERE NOT known) AS unknown_split_count, (SELECT count(*) FROM miss) AS missing_image_count, (SELECT count(*) FROM orph) AS orphan_image_count,
           coalesce((SELECT string_agg(split || '/' || filename, '; ' ORDER BY ord) FROM (SELECT * FROM miss WHERE filename <> '' ORDER BY ord LIMIT 25)), '') AS missing_images,
           coalesce((SELECT string_agg(split || '/' || filename, '; ' ORDER BY list_position(['train', 'val', 'test'], split), filename)
             FROM (SELECT * FROM orph ORDER BY list_position(['train', 'val', 'test'], split), filename LIMIT 25)), '') AS orphan_images)
         SELECT c.*, l.*, CAST((missing_image_count > 0)::INT + (usable_train = 0)::INT AS INT) AS error_count,
           CAST((usable_val = 0)::INT + (orphan_image_count > 0)::INT + (empty_labels + unreadable_labels > 0)::INT + (unknown_splits <> '')::INT AS INT) AS warning_count,
           NOT (missing_image_count > 0 OR usable_train = 0) AS ok FROM c, l""",
+    "unknown_splits": """
+        SELECT DISTINCT CASE WHEN split = '' THEN '(blank)' ELSE split END AS name FROM rows_ WHERE split NOT IN ('train', 'val', 'test')""",
     "split_scope": _read_rows("""
         SELECT filename, arg_max(label, ord) AS label FROM manifest WHERE lower(trim(split)) = 'test'
           AND filename IN (SELECT filename FROM images WHERE split = 'test') GROUP BY 1"""),

@@ -695,7 +695,7 @@ def validate_reports(r: Registry) -> DataFrame:
     raw = r.table("supplier").select(
         n.alias("model_folder"),
         F.when(k % 23 == 1, "2").otherwise("1").alias("schema_version"), n.alias("model_key"),
-        F.when(k % 19 == 2, " ").otherwise("civil-forms").alias("dataset"),
+        F.when(k % 19 == 2, " ").otherwise("form-scans").alias("dataset"),
         F.when(k % 17 == 3, "xyz").otherwise(F.upper(F.sha2(n, 256))).alias("manifest_sha256"),
         F.when(k % 13 == 4, "val").otherwise("test").alias("split"),
         F.when(k % 11 == 5, "0").otherwise((k + 1).cast("string")).alias("sample_count"),
@@ -763,6 +763,11 @@ def validate_dataset(r: Registry) -> DataFrame:
                       F.size("errors").alias("error_count"), F.size("warnings").alias("warning_count"))
 
 
+@query
+def unknown_splits(r: Registry) -> DataFrame:
+    return datasets.unknown_splits(r.manifest)
+
+
 @query
 def split_scope(r: Registry) -> DataFrame:
     return datasets.split_scope(r.manifest, r.images, "test").select("filename", F.length("label").alias("label_length"))
@@ -826,7 +831,7 @@ def word_distances(r: Registry) -> DataFrame:
 
 @query
 def evaluate_predictions(r: Registry) -> DataFrame:
-    return evaluation.evaluate_predictions(r.manifest, r.images, r.predictions, "test")[0]
+    return evaluation.evaluate_predictions(r.manifest, r.images, r.predictions, "test", spread=_tasks(r))[0]
 
 
 @query
@@ -845,7 +850,7 @@ def compare_models(r: Registry) -> DataFrame:
 @query
 def evaluation_report(r: Registry) -> DataFrame:
     report = evaluation.build_evaluation_report(
-        evaluation.corpus_metrics(_field_pairs(r)), model_key="fields", dataset="civil-forms", manifest_sha256="0" * 64,
+        evaluation.corpus_metrics(_field_pairs(r)), model_key="fields", dataset="form-scans", manifest_sha256="0" * 64,
         weights_file="model.safetensors", weights_sha256="1" * 64, evaluated_at="2026-08-02T10:00:00+00:00")
     return report.select(
         F.get_json_object("value", "$.sample_count").cast("long").alias("sample_count"),

@@ -192,7 +192,7 @@ class Registry:
             F.when(scored, bal).alias("cer"),
             F.when(scored, bal * 1.5).alias("wer"),
             F.when(scored, 1 - bal).alias("exact_match"),
-            F.when(scored, F.lit("civil-forms")).alias("evaluation_dataset"),
+            F.when(scored, F.lit("form-scans")).alias("evaluation_dataset"),
             F.when(scored, F.when(k % 7 == 3, "val").otherwise("test")).alias("evaluation_split"),
             F.when(scored, k * 37).alias("evaluation_sample_count"),
             F.when(scored, F.sha2(F.col("s_name"), 256)).alias("evaluation_manifest_sha256"),
@@ -210,7 +210,7 @@ class Registry:
             (F.col("s_suppkey") % 3 == 0).alias("loaded"),
             F.when(F.col("s_suppkey") % 2 == 0, F.struct(
                 (F.abs("s_acctbal") / 10000.0).alias("cer"), (F.abs("s_acctbal") / 9000.0).alias("wer"),
-                F.lit(0.5).alias("exact_match"), F.lit("civil-forms").alias("dataset"), F.lit("test").alias("split"),
+                F.lit(0.5).alias("exact_match"), F.lit("form-scans").alias("dataset"), F.lit("test").alias("split"),
                 F.col("s_suppkey").alias("sample_count"), F.sha2(F.col("s_name"), 256).alias("manifest_sha256"),
                 F.sha2(F.concat("s_name", F.lit("w")), 256).alias("weights_sha256"),
                 F.lit("2026-02-01 00:00:00").cast("timestamp").alias("evaluated_at"),

@@ -69,12 +69,14 @@ def storage_usage(files: DataFrame) -> DataFrame:
 
 def model_inventory(files: DataFrame, base_key: str = "base") -> DataFrame:
     """Folders holding a config and a weights file, with their sorted file names."""
-    names = files.where(F.col("folder") != base_key).groupBy("folder").agg(
-        F.sort_array(F.collect_set("filename")).alias("files"),
+    custom = files.where(F.col("folder") != base_key)
+    # Settled from two flags per folder; only the files of real model folders are gathered.
+    usable = custom.groupBy("folder").agg(
         F.bool_or(F.col("filename") == CONFIG_FILE).alias("_config"),
         F.bool_or(F.col("filename").isin(*WEIGHT_FILES)).alias("_weights"),
-    )
-    return names.where("_config and _weights").select(F.col("folder").alias("key"), "files")
+    ).where("_config and _weights").select("folder")
+    return custom.join(usable, "folder", "left_semi").groupBy(F.col("folder").alias("key")).agg(
+        F.sort_array(F.collect_set("filename")).alias("files"))
 
 
 def read_evaluation_reports(spark: SparkSession, root: str, glob: str = f"*/{REPORT_FILE}") -> DataFrame:
