@@ -57,7 +57,7 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
     Only a session without that setting (a local test) gets a folder of its own.
@@ -71,4 +71,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="docreg-ckpt-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=False)
+    return df.checkpoint(eager=eager)
