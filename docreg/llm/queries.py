@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docreg.llm import ngram_join, quality_rules
+from docreg.llm import decontamination, ngram_join, pii, quality_rules
 from docreg.llm.common import table
 
 
@@ -17,7 +17,17 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.judge(documents, quality_rules.learn(documents, table(spark, root, "labels")))
 
 
+def op5_bootstrapped_pii(spark: SparkSession, root: str) -> DataFrame:
+    return pii.report(table(spark, root, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op5_bootstrapped_pii": op5_bootstrapped_pii,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
