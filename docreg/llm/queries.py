@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docreg.llm import decontamination, ngram_join, pii, quality_rules
+from docreg.llm import byte_bpe, decontamination, ngram_join, pii, quality_rules
 from docreg.llm.common import table
 
 
@@ -21,6 +22,16 @@ def op5_bootstrapped_pii(spark: SparkSession, root: str) -> DataFrame:
     return pii.report(table(spark, root, "documents"))
 
 
+def multilingual_bpe(documents: DataFrame) -> byte_bpe.ByteBpe:
+    ranks = byte_bpe.read_ranks(documents.sparkSession, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).with_words(documents, sample_rows=4_000, keep=40_000)
+
+
+def op7_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents")
+    return byte_bpe.report(documents, multilingual_bpe(documents))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -29,5 +40,6 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_bootstrapped_pii": op5_bootstrapped_pii,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
