@@ -2,7 +2,8 @@
 
 A text is cut by the tokenizer's pattern, each piece becomes the array of its bytes' ids, and
 a fold merges the adjacent pair of lowest rank (leftmost first) until no pair has a rank. The
-rank map is a literal: pairs of ids hashed into small arrays of packed longs. Each distinct
+rank map is a literal: a table of (pair of ids, rank) packed in longs, addressed by a collision-free
+hash, since Spark's own map type is searched from end to end. Each distinct
 word of a bounded sample is folded once and the most frequent ones travel as a second literal
 map from word to ids; every other word is folded where it stands, so results never depend on
 the sample. Decoding looks up the bytes of each id and concatenates them.
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 from docreg.llm.common import bounded_sample, let, text_of
 
-PAIR_BUCKETS = 65536
-_SHIFT = 65536
+SLOTS = 1 << 18
+SHIFTS = 1 << 16
+_ID = 1 << 16
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """Rank file of lines ``base64 rank``; a vocabulary of at most 65,536 pieces."""
     with open(path, "rb") as file:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
-    if max(ranks.values()) >= _SHIFT:
+    if max(ranks.values()) >= _ID:
         raise ValueError("ranks must be below 65536")
     return ranks
 
@@ -40,11 +42,41 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
-def _slot(word: bytes, buckets: int) -> int:
+def _bucket(word: bytes, buckets: int) -> int:
     h = xxhash.xxh64(word, seed=42).intdigest()
     return (h - (1 << 64) if h >> 63 else h) % buckets
 
 
+def _home(a, b):
+    """First hash of a pair, for numbers as for columns: which shift applies."""
+    return (a * 40503 + b * 30011) % SHIFTS
+
+
+def _away(a, b):
+    """Second hash of a pair, before the shift."""
+    return a * 29 + b * 7919
+
+
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """(shifts, slots): every pair of ids that merges has a slot of its own at (away + shift of home) mod SLOTS."""
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                groups.setdefault(_home(a, b), []).append((a, b, rank))
+    shifts, slots = [0] * SHIFTS, [-1] * SLOTS
+    for home, pairs in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+        away = [_away(a, b) for a, b, _ in pairs]
+        if len({x % SLOTS for x in away}) < len(away):
+            raise ValueError("two pairs share both hashes")
+        shift = next(k for k in range(SLOTS) if all(slots[(x + k * 257) % SLOTS] < 0 for x in away)) * 257 % SLOTS
+        shifts[home] = shift
+        for x, (a, b, rank) in zip(away, pairs):
+            slots[(x + shift) % SLOTS] = (a * _ID + b) * _ID + rank
+    return shifts, slots
+
+
 class ByteBpe:
     """Columns that encode and decode with one rank map."""
 
@@ -55,46 +87,48 @@ class ByteBpe:
         self._pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self._pieces[rank] = piece.hex().upper()
-        buckets: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
-        for piece, rank in ranks.items():
-            for i in range(1, len(piece)):
-                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
-                if a is not None and b is not None:
-                    buckets[(a * 31 + b * 17) % PAIR_BUCKETS].append((a * _SHIFT + b) * _SHIFT + rank)
-        self._pairs = buckets
+        self._shifts, self._slots = pair_table(ranks)
         # Hex digits '0'-'9', 'A'-'F' by character code: 23 codes from '0' on for either digit.
         self._bytes = [-1] * (23 * 23)
         for value in range(256):
             high, low = f"{value:02X}"
             self._bytes[(ord(high) - 48) * 23 + ord(low) - 48] = ranks[bytes([value])]
 
-    def _fold(self, word: Column, pairs: Column, byte_ids: Column) -> Column:
+    def _fold(self, word: Column, lits: Column) -> Column:
         """Ids of one word, joined by commas."""
-        def merged(a: Column, b: Column) -> Column:
-            """Rank of the pair or null."""
-            key = a.cast("long") * _SHIFT + b
-            bucket = F.get(pairs, ((a * 31 + b * 17) % PAIR_BUCKETS).cast("int"))
-            return F.get(F.filter(bucket, lambda x: F.shiftright(x, 16) == key), F.lit(0)).bitwiseAND(F.lit(_SHIFT - 1)).cast("int")
+        def rank(a: Column, b: Column) -> Column:
+            """Rank of the pair, null if it does not merge or there is no second part."""
+            a, b = a.cast("long"), b.cast("long")
+            slot = F.get(lits["slots"], ((_away(a, b) + F.get(lits["shifts"], _home(a, b).cast("int"))) % SLOTS).cast("int"))
+            return F.when(F.shiftright(slot, 16) == a * _ID + b, slot.bitwiseAND(F.lit(_ID - 1)).cast("int"))
 
         def step(acc: Column, _: Column) -> Column:
-            parts = acc["parts"]
-            ranks = F.transform(parts, lambda x, i: let(F.get(parts, i + 1), lambda y: F.when(y.isNotNull(), merged(x, y))))
+            parts, ranks = acc["parts"], acc["ranks"]
 
-            def join(found: Column) -> Column:
+            def merge(found: Column) -> Column:
                 best, at = found["best"], found["at"]
-                return F.when(best.isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(
-                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(best), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                    F.lit(False).alias("done")))
+                two = F.lit(2)
+                joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(best), F.slice(parts, at + two, F.size(parts)))
+                left = F.when(at > 1, F.array(rank(F.get(parts, at - two), best))).otherwise(F.expr("cast(array() as array<int>)"))
+                right = F.when(at < F.size(ranks), F.array(rank(best, F.get(parts, at + 1)))).otherwise(
+                    F.expr("cast(array() as array<int>)"))
+                near = F.concat(F.slice(ranks, F.lit(1), F.greatest(at - two, F.lit(0))), left, right,
+                                F.slice(ranks, at + two, F.size(ranks)))
+                return F.when(best.isNull(), acc).otherwise(F.struct(joined.alias("parts"), near.alias("ranks")))
+
+            return let(F.array_min(ranks), lambda best: let(
+                F.struct(best.alias("best"), F.array_position(ranks, best).cast("int").alias("at")), merge))
 
-            searched = let(ranks, lambda r: let(F.array_min(r), lambda best: F.struct(
-                best.alias("best"), F.array_position(r, best).cast("int").alias("at"))))
-            return F.when(acc["done"] | (F.size(parts) < 2), acc).otherwise(let(searched, join))
+        digits = F.hex(word)
+        start = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.get(
+            lits["bytes"], (F.ascii(F.substring(digits, i, F.lit(1))) - 48) * 23 + F.ascii(F.substring(digits, i + 1, F.lit(1))) - 48))
 
-        start = F.transform(F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)), lambda x: F.get(
-            byte_ids, (F.ascii(x) - 48) * 23 + F.ascii(F.substring(x, 2, 1)) - 48))
-        folded = let(start, lambda s: F.aggregate(
-            s, F.struct(s.alias("parts"), F.lit(False).alias("done")), step, lambda acc: acc["parts"]))
-        return F.array_join(folded.cast("array<string>"), ",")
+        def run(parts: Column) -> Column:
+            ranks = F.slice(F.transform(parts, lambda x, i: rank(x, F.get(parts, i + 1))), F.lit(1), F.size(parts) - 1)
+            first = F.struct(parts.alias("parts"), ranks.alias("ranks"))
+            return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), first, step, lambda acc: acc["parts"])
+
+        return F.array_join(let(start, run).cast("array<string>"), ",")
 
     def with_words(self, texts: DataFrame, sample_rows: int, keep: int) -> ByteBpe:
         """Remember the ids of the ``keep`` most frequent words of a sample of about ``sample_rows`` texts (doc_id, text)."""
@@ -107,27 +141,24 @@ class ByteBpe:
 
     def encode(self, text: Column, cut: bool = True) -> Column:
         """Ids of a text joined by commas; with ``cut=False`` the text is one piece."""
-        pairs = _literal(self._pairs, "array<array<bigint>>")
-        byte_ids = _literal(self._bytes, "array<int>")
         buckets = max(1, len(self.words))
         table: list[dict[str, str]] = [{} for _ in range(buckets)]
         for word, ids in self.words.items():
-            table[_slot(word.encode(), buckets)][word] = ids
-        known = _literal(table, "array<map<string,string>>")
+            table[_bucket(word.encode(), buckets)][word] = ids
+        literals = F.struct(
+            _literal(self._shifts, "array<int>").alias("shifts"), _literal(self._slots, "array<bigint>").alias("slots"),
+            _literal(self._bytes, "array<int>").alias("bytes"), _literal(table, "array<map<string,string>>").alias("known"))
 
         def whole(lits: Column) -> Column:
-            def piece(word: Column) -> Column:
-                return self._fold(word, lits["pairs"], lits["bytes"])
-
             def cached(word: Column) -> Column:
                 hit = F.try_element_at(F.get(lits["known"], F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")), word)
-                return F.coalesce(hit, piece(word))
+                return F.coalesce(hit, self._fold(word, lits))
 
             if not cut:
-                return piece(text)
+                return self._fold(text, lits)
             return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), cached), ",")
 
-        return let(F.struct(pairs.alias("pairs"), byte_ids.alias("bytes"), known.alias("known")), whole)
+        return let(literals, whole)
 
     def decode(self, ids: Column) -> Column:
         """Binary of ids joined by commas."""

@@ -58,9 +58,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
     A projected column would be substituted at every place where a later filter or
-    projection uses it; a lambda variable is not.
+    projection uses it; a lambda variable is not. The fold runs over no elements: only its
+    start value and its finish count.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
 
 
 def spans_of(text: Column, pattern: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docreg.llm import byte_bpe, decontamination, ngram_join, pii, quality_rules
+from docreg.llm import byte_bpe, decontamination, ngram_join, pii, quality_rules, wavelet
 from docreg.llm.common import table
 
 
@@ -24,7 +24,7 @@ def op5_bootstrapped_pii(spark: SparkSession, root: str) -> DataFrame:
 
 def multilingual_bpe(documents: DataFrame) -> byte_bpe.ByteBpe:
     ranks = byte_bpe.read_ranks(documents.sparkSession, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).with_words(documents, sample_rows=4_000, keep=40_000)
+    return byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).with_words(documents, sample_rows=6_000, keep=60_000)
 
 
 def op7_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
@@ -36,10 +36,15 @@ def op8_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def op9_wavelet_shards(spark: SparkSession, root: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_bootstrapped_pii": op5_bootstrapped_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_wavelet_shards": op9_wavelet_shards,
 }
