@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreg.session import cut_lineage
+from docreg.session import CHECKPOINT_CONF, cut_lineage
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 400_000
@@ -22,6 +22,13 @@ def settle(df: DataFrame) -> DataFrame:
     return cut_lineage(df, eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the folder every executor reaches, from ``spark.checkpoint.dir``."""
+    cut_lineage(spark.range(0))  # names a folder where the session has none
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    return base if ":/" in base else f"file://{base}"
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreg.llm.common import settle
-from docreg.session import CHECKPOINT_CONF, cut_lineage, ship_package
+from docreg.llm.common import settle, shared_folder
+from docreg.session import ship_package
 
 MAGIC = b"WVM1"
 NO_ID = -(1 << 63)
@@ -252,14 +252,6 @@ def read_shards(documents: DataFrame, folder: str, written: DataFrame,
     return listed.mapInArrow(read, f"first bigint, {schema}")
 
 
-def shard_folder(documents: DataFrame) -> str:
-    """A fresh folder for shard files under the shared checkpoint folder."""
-    cut_lineage(documents.limit(0))
-    sc = documents.sparkSession.sparkContext
-    base = documents.sparkSession.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
-    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/wavelet-{uuid.uuid4().hex}"
-
-
 def _digests(shard: ShardFile) -> dict[str, list]:
     ends, ids = shard.ends(), shard.matrix().tokens().astype("<u4")
     begins = np.concatenate([[0], ends[:-1]])
@@ -269,7 +261,7 @@ def _digests(shard: ShardFile) -> dict[str, list]:
 
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
     """Write shard files and report every document from what they hold."""
-    folder = shard_folder(documents)
+    folder = f"{shared_folder(documents.sparkSession)}/wavelet-{uuid.uuid4().hex}"
     written = write_shards(documents, folder, tokenizer)
     if written.isEmpty():
         return documents.sparkSession.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
