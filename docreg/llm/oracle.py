@@ -5,18 +5,19 @@ WITH hosts AS (
     SELECT page_id, url, nullif(rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host
     FROM pages),
 entries AS (
-    SELECT h.host, e.ts AS at, max(struct_pack(id := e.event_id, listed := e.event_type IN ('purchase', 'error'))) AS e
+    SELECT h.host, e.ts AS at, max(e.event_id) AS id, arg_max(e.event_type IN ('purchase', 'error'), e.event_id) AS listed
     FROM events e JOIN hosts h ON h.page_id = e.user_id WHERE h.host IS NOT NULL GROUP BY h.host, e.ts),
 captures AS (
     SELECT h.page_id, h.url, h.host, e.ts AS fetched_at FROM hosts h LEFT JOIN events e ON e.event_id = h.page_id),
 asked AS (
-    SELECT page_id, fetched_at, unnest([array_to_string(list_slice(string_split(host, '.'), i, NULL), '.')
+    SELECT page_id, fetched_at, unnest([array_to_string(string_split(host, '.')[i:], '.')
         FOR i IN range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)]) AS suffix
     FROM captures WHERE host IS NOT NULL AND fetched_at IS NOT NULL),
+active AS (
+    SELECT a.page_id, a.suffix, n.id, n.listed FROM asked a ASOF LEFT JOIN entries n ON a.suffix = n.host AND a.fetched_at >= n.at),
 hits AS (
-    SELECT a.page_id, max(struct_pack(size := length(a.suffix), host := a.suffix, id := n.e.id)) AS m
-    FROM asked a ASOF JOIN entries n ON a.suffix = n.host AND a.fetched_at >= n.at
-    WHERE n.e.listed GROUP BY a.page_id)
+    SELECT page_id, max(struct_pack(size := length(suffix), host := suffix, id := id)) AS m
+    FROM active WHERE coalesce(listed, false) GROUP BY page_id)
 SELECT c.page_id AS capture_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NULL AS blocked, h.m.host AS matched, h.m.id AS entry_id
 FROM captures c LEFT JOIN hits h USING (page_id)
 """
