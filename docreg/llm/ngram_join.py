@@ -5,8 +5,7 @@ Two texts link when their sets of five-word shingles have a Jaccard similarity o
 
 1. Texts with the same shingle set become one class, named by its smallest doc_id.
 2. Similar classes are partitioned into groups: classes that share a minimum hash are
-   compared with a centre of their bucket (two levels, so no centre meets an unbounded
-   bucket), and verified links are closed to groups.
+   compared with the most ordinary one of their bucket, and verified links are closed to groups.
 3. Any link between different groups must share a token of both prefixes (the rarest fifth
    of a set). Prefix tokens, reduced to (token, group), give candidate pairs of groups.
 4. The token-group matrix holds, per candidate group, the union of its members' tokens as a
@@ -39,7 +38,6 @@ from docreg.session import ship_package
 SHINGLE = 5
 PERCENT = 80
 HASHES = 3
-SUB_BUCKETS = 256
 BITMAP = 32768
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -117,9 +115,9 @@ def common_tokens(documents: DataFrame, sample_rows: int, keep: int) -> np.ndarr
 
 
 def signatures(documents: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, fingerprint, minima, prefix) of every row."""
+    """(doc_id, n, often, fingerprint, minima, prefix) of every row; ``often`` counts common tokens."""
     def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sizes, prints, minima, prefixes = [], [], [], []
+        sizes, commons, prints, minima, prefixes = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             tokens = shingle_set(text)
             sizes.append(len(tokens))
@@ -130,13 +128,14 @@ def signatures(documents: DataFrame, common: np.ndarray) -> DataFrame:
             if len(common) and len(tokens):
                 at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
                 often = common[at] == tokens
+            commons.append(int(often.sum()))
             ordered = np.concatenate([tokens[~often], tokens[often]])
             prefixes.append(_signed(ordered[:len(tokens) - least_overlap(len(tokens)) + 1] if len(tokens) else ordered))
-        return {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "fingerprint": pa.array(prints, pa.binary()),
+        return {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "often": pa.array(commons, pa.int64()), "fingerprint": pa.array(prints, pa.binary()),
                 "minima": _lists(minima, np.int64), "prefix": _lists(prefixes, np.int64)}
 
     return _arrow(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), each,
-                  "doc_id bigint, n bigint, fingerprint binary, minima array<bigint>, prefix array<bigint>")
+                  "doc_id bigint, n bigint, often bigint, fingerprint binary, minima array<bigint>, prefix array<bigint>")
 
 
 def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -169,31 +168,59 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of every class with the centre of its sub-bucket, and of these centres with the bucket's."""
-    members = classes.select("id", F.posexplode("minima").alias("turn", "value")).withColumn(
-        "sub", F.pmod(F.xxhash64("id"), F.lit(SUB_BUCKETS)))
-    subs = members.groupBy("turn", "value", "sub").agg(F.min("id").alias("centre"), F.count("*").alias("size"))
-    inner = members.join(subs.where("size > 1").drop("size"), ["turn", "value", "sub"])
-    tops = subs.groupBy("turn", "value").agg(F.min("centre").alias("top"), F.count("*").alias("size"))
-    outer = subs.drop("size").join(tops.where("size > 1").drop("size"), ["turn", "value"])
-    pairs = inner.select(F.col("id").alias("a"), F.col("centre").alias("b")).union(
-        outer.select(F.col("centre").alias("a"), F.col("top").alias("b")))
-    return pairs.where("a != b")
-
-
-def _candidate_groups(classes: DataFrame) -> DataFrame:
-    """Pairs of groups (g, h), g < h, that share a prefix token between sets of like size."""
-    tokens = classes.select("group", "n", F.explode("prefix").alias("token"))
-    met = settle(tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("rows"))
-                 .where("lo < hi"))
+    """Pairs of every class with the most ordinary class of its bucket: the one with the most common tokens.
+
+    Of many copies of one text the least edited one is nearest to all others. Centres are
+    settled first, so that the join with a large bucket is one that Spark splits.
+    """
+    members = classes.select("id", "n", "often", F.posexplode("minima").alias("turn", "value"))
+    rank = F.struct((F.col("often") / F.col("n")).alias("share"), (-F.col("id")).alias("order"), F.col("id").alias("id"))
+    tops = settle(members.groupBy("turn", "value").agg(F.max(rank)["id"].alias("top"), F.count("*").alias("size")).where("size > 1"))
+    return members.select("id", "turn", "value").join(tops, ["turn", "value"]).where("id != top").select(
+        F.col("id").alias("a"), F.col("top").alias("b"))
+
+
+def _candidate_groups(classes: DataFrame, moved: DataFrame) -> DataFrame:
+    """Pairs of groups (g, h), g < h, that share a prefix token between sets of like size.
+
+    The smaller set of a link shares 8/9 of its tokens, so the token may be sought in the
+    first ninth of its order only (its core). Near copies of one text that do not link with
+    each other have rare tokens there, and meet no partner through those they all share.
+    """
+    both = 100 + PERCENT
+    core = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * PERCENT) * F.col("n") / both - 1e-9) + 1
+    tokens = classes.select("group", "n", F.posexplode("prefix").alias("pos", "token")).select("group", "n", "token", core.alias("core"))
+    met = settle(tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("rows"),
+                                             F.bool_or("core").alias("core")).where("lo < hi and core"))
     two = met.where("rows = 2").select(F.col("lo").alias("g"), F.col("hi").alias("h"))
     # Sizes of linked sets differ by a quarter at most: neighbouring bins on a log scale.
     shelf = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9)
-    more = settle(tokens.join(met.where("rows > 2").select("token"), "token").select("token", "group", shelf.alias("bin")).distinct())
-    left = more.select("token", F.col("group").alias("x"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    near = left.join(more, ["token", "bin"]).where("x != group").select(
-        F.least("x", "group").alias("g"), F.greatest("x", "group").alias("h"))
-    return settle(two.union(near).distinct())
+    often = met.where("rows > 2").select("token")
+    more = settle(only_ids(tokens, "token", often, often.count()).groupBy("token", "group", shelf.alias("bin")).agg(
+        F.min(F.when(F.col("core"), F.col("n"))).alias("least"), F.max("n").alias("most")))
+    left = more.where("least is not null").select(
+        "token", F.col("group").alias("x"), "least", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    near = left.join(more.select("token", "bin", "group", F.col("most").alias("reach")), ["token", "bin"]).where(
+        "x != group and least <= reach").select(F.least("x", "group").alias("g"), F.greatest("x", "group").alias("h"))
+    return _sharing_enough(settle(two.union(near).distinct()), classes, moved)
+
+
+def _sharing_enough(pairs: DataFrame, classes: DataFrame, moved: DataFrame) -> DataFrame:
+    """Drop pairs of one-class groups whose prefixes share too little.
+
+    Shared tokens outside one of the prefixes are fewer than 80 % of the larger set; a link
+    needs 4/9 of both sizes, so the prefixes must share the rest.
+    """
+    ids = settle(pairs.select(F.col("g").alias("id")).union(pairs.select("h")).distinct())
+    sets = only_ids(classes.select("id", "n", "prefix"), "id", ids, ids.count())
+    wide = _small(moved.select(F.col("component").alias("id")).distinct().withColumn("wide", F.lit(True)))
+    sets = sets.join(wide, "id", "left").select("id", F.when(F.col("wide").isNull(), F.struct("n", "prefix")).alias("s"))
+    rows = pairs.join(sets.select(F.col("id").alias("g"), F.col("s").alias("a")), "g").join(
+        sets.select(F.col("id").alias("h"), F.col("s").alias("b")), "h")
+    needed = (F.lit(PERCENT) * (F.col("a.n") + F.col("b.n")) / (100 + PERCENT)
+              - F.lit(PERCENT) * F.greatest("a.n", "b.n") / 100)
+    enough = F.size(F.array_intersect("a.prefix", "b.prefix")) >= needed - 1e-6
+    return settle(rows.where(F.col("a").isNull() | F.col("b").isNull() | enough).select("g", "h").distinct())
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -254,19 +281,25 @@ def _opened(documents: DataFrame, reaching: DataFrame) -> DataFrame:
     return links if rest.isEmpty() else links.union(verified(documents, rest))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if counted to be short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_duplicates(documents: DataFrame, sample_rows: int = 10_000, common_rows: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``documents`` (doc_id, text)."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(signatures(documents, common_tokens(documents, sample_rows, common_rows)))
     named = signed.where("doc_id is not null and n > 0")
     classes = settle(named.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
-    full = settle(named.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "fingerprint"]).select(
-        F.col("doc_id").alias("id"), "n", "minima", "prefix").dropDuplicates(["id", "n"]))
+    # Copies of a class are few or many; the heavy prefix column moves only in the second case.
+    copies = settle(named.select("doc_id", "fingerprint").join(classes, "fingerprint").where("doc_id != id").select("doc_id", "fingerprint"))
+    full = named.join(_small(copies), ["doc_id", "fingerprint"], "left_anti").select(F.col("doc_id").alias("id"), "n", "often", "minima", "prefix")
     stars = verified(documents, _star_pairs(full))
-    groups = components(stars)
-    grouped = full.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+    groups = settle(components(stars).where("node != component"))
+    grouped = full.join(_small(groups.withColumnRenamed("node", "id")), "id", "left").select(
         "id", "n", "prefix", F.coalesce("component", "id").alias("group"))
-    pairs = _candidate_groups(grouped)
+    pairs = _candidate_groups(grouped, groups)
     links = stars
     if not pairs.isEmpty():
         links = links.union(_opened(documents, _reaching(documents, grouped.select("id", "n", "group"), pairs)))
