@@ -97,11 +97,11 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sh
     if not 0 < share < 1:
         return machine
     texts = only_ids(documents, "doc_id", known.select("doc_id"), sample_rows)
-    rows = settle(featured(texts).join(known, "doc_id").select(
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "words", "bins", "y"))
+    # A shard is a partition of the settled sample: rounds move parameters, not rows.
+    rows = settle(featured(texts).join(known, "doc_id").select("words", "bins", "y").repartition(shards))
     for number in range(rounds):
         fit = _fitting(machine, rate / (1 + number), number)
-        parts = rows.groupBy("shard").applyInArrow(fit, "bias double, weights binary, vectors binary").collect()
+        parts = rows.mapInArrow(fit, "bias double, weights binary, vectors binary").collect()
         machine = Machine(float(np.mean([p["bias"] for p in parts])),
                           np.mean([np.frombuffer(p["weights"]) for p in parts], axis=0),
                           np.mean([np.frombuffer(p["vectors"]).reshape(SIZE, RANK) for p in parts], axis=0))
@@ -109,11 +109,13 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sh
 
 
 def _fitting(machine: Machine, rate: float, seed: int):
-    def fit(group: pa.Table) -> pa.Table:
-        words, bins = (pa.concat_arrays(group[c].chunks) for c in ("words", "bins"))
-        flat, begins, values = _flat(words, bins)
-        out = descend(machine, flat, begins, values, group["y"].to_numpy(), rate, seed)
-        return pa.table({"bias": [out.bias], "weights": [out.weights.tobytes()], "vectors": [out.vectors.tobytes()]})
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            words, bins, y = (pa.concat_arrays([b.column(i) for b in parts]) for i in range(3))
+            out = descend(machine, *_flat(words, bins), y.to_numpy(), rate, seed)
+            yield pa.RecordBatch.from_pydict({
+                "bias": [out.bias], "weights": [out.weights.tobytes()], "vectors": [out.vectors.tobytes()]})
 
     return fit
 
