@@ -168,16 +168,21 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, b
         "doc_id", "item_id", "m.distance", "m.budget", "m.end_at")
 
 
+def _leaks_of(block: list[Item], rate: float):
+    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block, rate)
+        for texts in parts:
+            yield pd.Series([next(matcher.find(t), None) is not None for t in texts], dtype=bool)
+
+    # The annotations of this module are strings; Spark reads the types.
+    leaks.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return leaks
+
+
 def keep_clean(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of ``documents`` in which no item occurs, with their own columns."""
     ship_package(documents.sparkSession)
     out = documents
     for block in blocks(benchmark, block_chars):
-        def leaks(parts: Iterator[pd.Series], block: list[Item] = block) -> Iterator[pd.Series]:
-            matcher = Matcher(block, rate)
-            for texts in parts:
-                yield pd.Series([next(matcher.find(t), None) is not None for t in texts], dtype=bool)
-
-        leaks.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        out = out.where(~F.pandas_udf(leaks, "boolean")(F.col("text").cast("string")))
+        out = out.where(~F.pandas_udf(_leaks_of(block, rate), "boolean")(F.col("text").cast("string")))
     return out

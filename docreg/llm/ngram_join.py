@@ -237,26 +237,39 @@ def _reaching(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
         "bits": _lists([_bitmap(shingle_set(t)) for t in b.column(3).to_pylist()], np.int32)},
         "group bigint, id bigint, n bigint, bits array<int>")
     bits = settle(bits)
-    matrix = bits.select("group", F.explode("bits").alias("bit")).groupBy("group").agg(
-        F.bitmap_construct_agg(F.col("bit").cast("long")).alias("row"))
-    matrix = settle(matrix)
-    sides = pairs.select("g", "h", F.lit(0).alias("side"), F.col("g").alias("own"), F.col("h").alias("other")).union(
-        pairs.select("g", "h", F.lit(1), F.col("h"), F.col("g")))
-    asked = sides.join(matrix.withColumnRenamed("group", "other"), "other").join(
-        bits.withColumnRenamed("group", "own"), "own").select("g", "h", "side", "id", "n", "bits", "row")
+    matrix = settle(bits.select("group", "id", "n", F.explode("bits").alias("bit")).groupBy("group").agg(
+        F.bitmap_construct_agg(F.col("bit").cast("long")).alias("row"), F.min("n").alias("least")))
+    sizes = members.groupBy("group").count()
+    sized = pairs.join(sizes.select(F.col("group").alias("g"), F.col("count").alias("gs")), "g").join(
+        sizes.select(F.col("group").alias("h"), F.col("count").alias("hs")), "h")
+    first = F.when(F.col("gs") <= F.col("hs"), 0).otherwise(1)
+    sides = settle(sized.select("g", "h", first.alias("side")))
+
+    def asked(sides: DataFrame) -> DataFrame:
+        """Documents of the given side of each pair that share enough tokens with the other side's row."""
+        own = F.when(F.col("side") == 0, F.col("g")).otherwise(F.col("h"))
+        other = F.when(F.col("side") == 0, F.col("h")).otherwise(F.col("g"))
+        rows = sides.select("g", "h", "side", own.alias("own"), other.alias("other")).join(
+            matrix.withColumnRenamed("group", "other"), "other").join(bits.withColumnRenamed("group", "own"), "own")
+        return settle(_arrow(rows.select("g", "h", "side", "id", "n", "bits", "row", "least"), each,
+                             "g bigint, h bigint, side int, id bigint, n bigint"))
 
     def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        n = batch.column(4).to_numpy(zero_copy_only=False)
+        n, least = batch.column(4).to_numpy(), batch.column(7).to_numpy()
         keep = []
         for i in range(batch.num_rows):
             row = np.unpackbits(np.frombuffer(batch.column(6)[i].as_py(), np.uint8), bitorder="little")
-            bits = batch.column(5)[i].values.to_numpy()
-            if int(row[bits].sum()) >= least_overlap(int(n[i])):
+            shared = int(row[batch.column(5)[i].values.to_numpy()].sum())
+            # 80 % of the own tokens, and 4/9 of both sizes, the other at its least.
+            if shared >= least_overlap(int(n[i])) and (100 + PERCENT) * shared >= PERCENT * int(n[i] + least[i]):
                 keep.append(i)
         picked = batch.take(pa.array(keep, pa.int64()))
         return {name: picked.column(i) for i, name in enumerate(("g", "h", "side", "id", "n"))}
 
-    return settle(_arrow(asked, each, "g bigint, h bigint, side int, id bigint, n bigint"))
+    # The smaller group asks first; the larger one only where that left a document.
+    small = asked(sides)
+    alive = settle(small.select("g", "h", (1 - F.col("side")).cast("int").alias("side")).distinct())
+    return settle(small.union(asked(alive)))
 
 
 def _opened(documents: DataFrame, reaching: DataFrame) -> DataFrame:

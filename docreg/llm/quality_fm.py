@@ -94,7 +94,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sh
     share = stats["mean"] if stats["n"] else 0.5
     rng = np.random.default_rng(5)
     machine = Machine(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(SIZE), rng.normal(0, 0.05, (SIZE, RANK)))
-    if not 0 < share < 1:
+    if not stats["n"] or not 0 < share < 1:
         return machine
     texts = only_ids(documents, "doc_id", known.select("doc_id"), sample_rows)
     # A shard is a partition of the settled sample: rounds move parameters, not rows.

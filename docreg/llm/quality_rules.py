@@ -146,12 +146,16 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000, bi
     binned = settle(rows.withColumn("bins", F.array(*[_bin(F.col(f"s.{s}"), cuts[s]) for s in STATISTICS])))
 
     rules: list[tuple[Test, ...]] = []
-    left = binned
+    left, refused = binned, set()
     while len(rules) < max_rules:
-        rule = _grow(left.where(~F.col("prune")), cuts, max_tests)
-        rule = _prune(left.where("prune"), rule, min_precision, min_cover)
-        if not rule:
+        grown = _grow(left.where(~F.col("prune")), cuts, max_tests, refused)
+        if not grown:
             break
+        rule = _prune(left.where("prune"), grown, min_precision, min_cover)
+        if not rule:
+            # The pruning rows contradict it: look for a rule that starts elsewhere.
+            refused.add(grown[0].statistic)
+            continue
         rules.append(rule)
         left = left.where(~_all(rule, F.col("s")))
     return DecisionList(tuple(rules))
@@ -161,19 +165,19 @@ def _bin(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < value))
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_tests: int) -> tuple[Test, ...]:
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_tests: int, refused: set[str]) -> tuple[Test, ...]:
     rule: list[Test] = []
     while len(rule) < max_tests:
         counts = (rows.where(_all(tuple(rule), F.col("s"))).select("bad", F.posexplode("bins").alias("stat", "bin"))
                   .groupBy("stat", "bin").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect())
-        found = _best_test(counts, cuts)
+        found = _best_test(counts, cuts, refused if not rule else set())
         if found is None:
             break
         rule.append(found)
     return tuple(rule)
 
 
-def _best_test(counts: list, cuts: dict[str, list[float]]) -> Test | None:
+def _best_test(counts: list, cuts: dict[str, list[float]], refused: set[str]) -> Test | None:
     """The test with the highest information gain; ties go to the earlier statistic and lower cut."""
     best, gain = None, 1e-9
     for s, name in enumerate(STATISTICS):
@@ -181,6 +185,8 @@ def _best_test(counts: list, cuts: dict[str, list[float]]) -> Test | None:
         total_p, total_n = (sum(c[i] for c in cells.values()) for i in (0, 1))
         if not total_p or not total_n:
             return None
+        if name in refused:
+            continue
         before = math.log2(total_p / (total_p + total_n))
         p = n = 0
         for i, cut in enumerate(cuts[name]):
