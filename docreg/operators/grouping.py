@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docreg.functions import values as V
-from docreg.functions.prefix import ranked
+from docreg.functions.prefix import ranked, running
 from docreg.schemas import MAX_FIELDS
 
 _OUT = ["record_id", "field_id", "kind", "number", "group_id", "label", "position"]
@@ -377,34 +377,32 @@ def copy_names(existing: DataFrame, copies: DataFrame, max_length: int = 500) ->
     """Names for pasted fields: 'X copy', 'X copy 2', ... unique in the layout ignoring case.
 
     existing: document_template_id, name. copies: document_template_id, position, name.
-    A paste that takes a layout above 450 fields is refused: its copies keep their rows
-    with a NULL ``copy_name``.
+    The n-th copy of a name gets the n-th number that no existing name uses: a used number u
+    that is the i-th in order has u - i free numbers before it, so the copy moves up by the
+    used numbers with u - i < n. Names that agree in all but their last 16 characters of the
+    greatest length are numbered together, so that cutting them never makes two equal.
     """
-    rows = existing.select("document_template_id", F.lit(-1).alias("position"), "name").unionByName(
-        copies.select("document_template_id", F.col("position").cast("int").alias("position"), "name"))
-    size = rows.groupBy("document_template_id").agg(F.count("*").alias("_n"))
-    fits = size.where(F.col("_n") <= MAX_FIELDS).select("document_template_id")
-
-    def name_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = set(pdf.loc[pdf["position"] < 0, "name"].str.lower())
-        new = pdf[pdf["position"] >= 0].sort_values("position", kind="stable").copy()
-        given = []
-        for name in new["name"].fillna(""):
-            base, n = name.strip() or "Field", 1
-            while True:
-                tail = " copy" if n == 1 else f" copy {n}"
-                text = base[: max_length - len(tail)] + tail
-                if text.lower() not in taken:
-                    break
-                n += 1
-            taken.add(text.lower())
-            given.append(text)
-        new["copy_name"] = given
-        return new
-
-    named = rows.join(fits, "document_template_id", "left_semi").groupBy("document_template_id").applyInPandas(
-        name_all, T.StructType([*rows.schema.fields, T.StructField("copy_name", T.StringType())]))
-    refused = copies.join(fits, "document_template_id", "left_anti").select(
-        "document_template_id", F.col("position").cast("int").alias("position"), "name",
-        F.lit(None).cast("string").alias("copy_name"))
-    return named.unionByName(refused)
+    keys = ["document_template_id", "_key"]
+    room = max_length - 16
+    pattern = r"(?s)^(.*) copy(?: ([2-9]|[1-9][0-9]+))?$"
+    lowered = F.lower("name")
+    used = existing.where(lowered.rlike(pattern)).select(
+        "document_template_id", F.left(F.regexp_extract(lowered, pattern, 1), F.lit(room)).alias("_key"),
+        F.when(F.regexp_extract(lowered, pattern, 2) == "", F.lit(1)).otherwise(
+            F.regexp_extract(lowered, pattern, 2).try_cast("long")).cast("long").alias("_used")).where("_used is not null").distinct()
+    used = ranked(used, keys, [F.col("_used")], F.floor(F.col("_used") / 1000), "_i")
+    base = V.strip_unicode(F.coalesce("name", F.lit("")))
+    new = copies.select("document_template_id", F.col("position").cast("int").alias("position"), "name",
+                        F.when(base == "", F.lit("Field")).otherwise(base).alias("_base"))
+    new = ranked(new.withColumn("_key", F.left(F.lower("_base"), F.lit(room))), keys, [F.col("position"), F.col("name")],
+                 F.floor(F.col("position") / 1000), "_n")
+    none = F.lit(None)
+    moves = used.select(*keys, (F.col("_used") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_copy"), F.lit(1).cast("long").alias("_step"),
+                        none.cast("int").alias("position"), none.cast("string").alias("name"), none.cast("string").alias("_base"))
+    asks = new.select(*keys, F.col("_n").alias("_at"), F.lit(1).alias("_copy"), F.lit(0).cast("long").alias("_step"), "position", "name", "_base")
+    passed = running(moves.unionByName(asks), keys, [F.col("_at"), F.col("_copy")], F.floor(F.col("_at") / 1000), {"_up": ("sum", "_step")})
+    number = F.col("_at") + F.col("_up")
+    tail = F.when(number == 1, F.lit(" copy")).otherwise(F.concat(F.lit(" copy "), number.cast("string")))
+    return passed.where("_copy = 1").select(
+        "document_template_id", "position", "name",
+        F.concat(F.left("_base", F.lit(max_length) - F.length(tail)), tail).alias("copy_name"))

@@ -603,6 +603,17 @@ _SQL: dict[str, str] = {
     # -------------------------------------------------------------- quality
     "check_fields_capture": "SELECT id, " + _violations(*_geometry("0.00001"), _BOTH, (
         "trim(verified_value) = ''", "verified_value: required")) + " AS violations FROM fields",
+    "copy_names": r"""
+        WITH e AS (SELECT document_template_id AS t, lower(name) AS n FROM template_fields),
+        u AS (SELECT DISTINCT t, regexp_extract(n, '(?s)^(.*) copy( ([2-9]|[1-9][0-9]+))?$', 1) AS k,
+            coalesce(try_cast(nullif(regexp_extract(n, '(?s)^(.*) copy( ([2-9]|[1-9][0-9]+))?$', 3), '') AS BIGINT), 1) AS num
+            FROM e WHERE regexp_matches(n, '(?s)^(.*) copy( ([2-9]|[1-9][0-9]+))?$')),
+        o AS (SELECT t, k, num - row_number() OVER (PARTITION BY t, k ORDER BY num) AS off FROM u),
+        b AS (SELECT document_template_id AS t, CAST(sort_order AS INT) AS position, name, coalesce(nullif(trim(name), ''), 'Field') AS base FROM template_fields),
+        c AS (SELECT *, row_number() OVER (PARTITION BY t, lower(base) ORDER BY position, name) AS n FROM b),
+        m AS (SELECT c.t, c.position, c.name, c.base, c.n, c.n + count(o.off) AS m
+            FROM c LEFT JOIN o ON o.t = c.t AND o.k = lower(c.base) AND o.off < c.n GROUP BY c.t, c.position, c.name, c.base, c.n)
+        SELECT t AS document_template_id, position, name, base || CASE WHEN m = 1 THEN ' copy' ELSE ' copy ' || m END AS copy_name FROM m""",
     "check_fields_layout": "SELECT id, " + _violations(*_geometry("0.01"), _BOTH) + " AS violations FROM template_fields",
     "check_unique_names": """
         SELECT id, CASE WHEN count(*) OVER (PARTITION BY record_id, lower(trim(name))) > 1 THEN 'name: occurs more than once' ELSE '' END AS violations FROM fields""",

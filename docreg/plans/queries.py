@@ -341,7 +341,7 @@ def group_selected(r: Registry) -> DataFrame:
 
 @query
 def boxes_in_region(r: Registry) -> DataFrame:
-    boxes = r.record_fields.withColumnRenamed("record_id", "document_id").where(F.col("x").isNotNull())
+    boxes = r.record_fields.withColumnRenamed("record_id", "document_id")
     k = F.col("id")
     regions = r.records.select(
         k.alias("document_id"), (k % 500).alias("left"), (k % 300).alias("top"),

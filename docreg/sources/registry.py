@@ -96,7 +96,7 @@ def audit_projection(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "old_values": F.to_json(V.redact(F.col("old_values"))),
         "new_values": F.to_json(V.redact(F.col("new_values"))),
-        "user_agent": F.substring(F.coalesce(F.col("user_agent"), F.lit("")), 1, 1000),
+        "user_agent": F.coalesce(F.col("user_agent"), F.lit("")),
     })
 
 

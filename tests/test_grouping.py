@@ -163,7 +163,22 @@ def test_copy_names(rows):
     existing = rows("document_template_id long, name string", (1, "Name"), (1, "name COPY"), (2, "x"), *[(3, f"n{i}") for i in range(450)])
     copies = rows("document_template_id long, position int, name string", (1, 0, "Name"), (1, 1, "Name"), (1, 2, "  "), (2, 0, "a" * 500), (3, 0, "n0"))
     got = {(r.document_template_id, r.position): r.copy_name for r in G.copy_names(existing, copies).collect()}
-    assert got == {(1, 0): "Name copy 2", (1, 1): "Name copy 3", (1, 2): "Field copy", (2, 0): "a" * 495 + " copy", (3, 0): None}
+    assert got == {(1, 0): "Name copy 2", (1, 1): "Name copy 3", (1, 2): "Field copy", (2, 0): "a" * 495 + " copy", (3, 0): "n0 copy"}
+
+
+def test_copy_names_against_counting_up(rows):
+    taken = ["N copy", "n copy 3", "N COPY 4", "N copy 04", "n copy 9", "N copy copy", "M copy 2"]
+    names = ["N"] * 6 + ["n", " N ", "M", "M", "N copy", "M copy"]
+    got = {r.position: r.copy_name for r in G.copy_names(
+        rows("document_template_id long, name string", *[(1, n) for n in taken]),
+        rows("document_template_id long, position int, name string", *[(1, i, n) for i, n in enumerate(names)])).collect()}
+    seen = {n.lower() for n in taken}
+    for i, name in enumerate(names):
+        k = 1
+        while (text := name.strip() + (" copy" if k == 1 else f" copy {k}")).lower() in seen:
+            k += 1
+        seen.add(text.lower())
+        assert got[i] == text
 
 
 def test_request_detail_and_regions(rows, stored):

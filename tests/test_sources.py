@@ -63,7 +63,7 @@ def test_audit_sink_batch_and_stream(spark, rows, tmp_path):
     R.append_audit(log, target)
     R.append_audit(log, target)
     got = spark.read.parquet(target).collect()
-    assert len(got) == 2 and json.loads(got[0].new_values) == {"password": "[redacted]", "n": "1"} and len(got[0].user_agent) == 1000
+    assert len(got) == 2 and json.loads(got[0].new_values) == {"password": "[redacted]", "n": "1"} and len(got[0].user_agent) == 2000
     log.write.parquet(source)
     stream = spark.readStream.schema(log.schema).parquet(source)
     query = audit_sink(stream, str(tmp_path / "trail2"), str(tmp_path / "ckpt")).trigger(availableNow=True).start()
