@@ -159,7 +159,7 @@ class WordEncoder:
     the ids of its words in order. The memory of words is emptied when full.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 400_000):
         self.tokenizer, self.room = _tokenizer(path), room
         self.known: dict[bytes, bytes] = {}
 
