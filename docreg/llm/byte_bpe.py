@@ -1,12 +1,15 @@
-"""Byte-level BPE encoding and decoding in Spark higher-order functions.
+"""Byte-level BPE: Spark higher-order functions fold ranked merges over byte arrays of words.
 
-A text is cut by the tokenizer's pattern, each piece becomes the array of its bytes' ids, and
+A text is cut by the tokenizer's pattern. Each word becomes the array of its bytes' ids, and
 a fold merges the adjacent pair of lowest rank (leftmost first) until no pair has a rank. The
-rank map is a literal: a table of (pair of ids, rank) packed in longs, addressed by a collision-free
-hash, since Spark's own map type is searched from end to end. Each distinct
-word of a bounded sample is folded once and the most frequent ones travel as a second literal
-map from word to ids; every other word is folded where it stands, so results never depend on
-the sample. Decoding looks up the bytes of each id and concatenates them.
+rank map is a literal: a table of (pair of ids, rank) packed in longs, addressed by a
+collision-free hash, since Spark's own map type is searched from end to end.
+
+The fold costs far more than a lookup, so each text folds only distinct words: the frequent
+words of a bounded sample are folded once and kept in a memory of bounded size, a task cuts
+its texts and looks their words up, and what is left goes to the fold as one array of distinct
+words per text. The memory steers the work only; results never depend on it. Decoding looks
+up the bytes of each id and concatenates them.
 
 Defined cases: null and empty texts have no tokens; the digest of no ids is that of the empty
 string; repeated rows get equal results.
@@ -15,17 +18,27 @@ string; repeated rows get equal results.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
-
-import xxhash
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreg.llm.common import bounded_sample, let, text_of
+from docreg.llm.common import bounded_sample, let
+from docreg.session import ship_package
 
 SLOTS = 1 << 18
 SHIFTS = 1 << 16
 _ID = 1 << 16
+LONGEST_KNOWN = 64
+ROWS = 500
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -39,12 +52,7 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 def _literal(value: object, kind: str) -> Column:
     """Constant column of a nested type; the optimizer folds it to a literal once."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
-
-
-def _bucket(word: bytes, buckets: int) -> int:
-    h = xxhash.xxh64(word, seed=42).intdigest()
-    return (h - (1 << 64) if h >> 63 else h) % buckets
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
 def _home(a, b):
@@ -77,25 +85,46 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return shifts, slots
 
 
+def _lists(parts: list[bytes]) -> pa.Array:
+    """array<int> column of little-endian 32-bit numbers."""
+    offsets = np.fromiter(accumulate((len(p) // 4 for p in parts), initial=0), np.int32, len(parts) + 1)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def _arrow(df: DataFrame, each: Callable[[pa.RecordBatch], list[pa.Array]], schema: str) -> DataFrame:
+    """``mapInArrow`` with ``each(batch) -> columns`` over slices of few rows."""
+    ship_package(df.sparkSession)
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_arrays(each(batch.slice(start, ROWS)), names)
+
+    return df.mapInArrow(run, schema)
+
+
 class ByteBpe:
-    """Columns that encode and decode with one rank map."""
+    """Encodes and decodes with one rank map."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        # (?U): white space as Unicode defines it, as the tokenizer's own engine does.
-        self.pattern = "(?U)" + pattern
-        self.words: dict[str, str] = {}
-        self._pieces = [""] * (max(ranks.values()) + 1)
+        self.pattern = pattern
+        self.words: dict[str, bytes] = {}
+        self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
-            self._pieces[rank] = piece.hex().upper()
+            self.pieces[rank] = piece
+        self._bytes = np.array([ranks[bytes([value])] for value in range(256)], "<i4")
         self._shifts, self._slots = pair_table(ranks)
-        # Hex digits '0'-'9', 'A'-'F' by character code: 23 codes from '0' on for either digit.
-        self._bytes = [-1] * (23 * 23)
-        for value in range(256):
-            high, low = f"{value:02X}"
-            self._bytes[(ord(high) - 48) * 23 + ord(low) - 48] = ranks[bytes([value])]
+        self._shared: Broadcast | None = None
+
+    def fold(self, words: Column) -> Column:
+        """Ids (array<int>) of each of several words, given as arrays of the ids of their bytes."""
+        literals = F.struct(_literal(self._shifts, "array<int>").alias("shifts"), _literal(self._slots, "array<bigint>").alias("slots"))
+        return let(literals, lambda lits: F.transform(words, lambda word: self._fold(word, lits)))
 
     def _fold(self, word: Column, lits: Column) -> Column:
-        """Ids of one word, joined by commas."""
+        none = F.expr("cast(array() as array<int>)")
+
         def rank(a: Column, b: Column) -> Column:
             """Rank of the pair, null if it does not merge or there is no second part."""
             a, b = a.cast("long"), b.cast("long")
@@ -106,77 +135,117 @@ class ByteBpe:
             parts, ranks = acc["parts"], acc["ranks"]
 
             def merge(found: Column) -> Column:
-                best, at = found["best"], found["at"]
-                two = F.lit(2)
+                best, at, two = found["best"], found["at"], F.lit(2)
                 joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(best), F.slice(parts, at + two, F.size(parts)))
-                left = F.when(at > 1, F.array(rank(F.get(parts, at - two), best))).otherwise(F.expr("cast(array() as array<int>)"))
-                right = F.when(at < F.size(ranks), F.array(rank(best, F.get(parts, at + 1)))).otherwise(
-                    F.expr("cast(array() as array<int>)"))
+                left = F.when(at > 1, F.array(rank(F.get(parts, at - two), best))).otherwise(none)
+                right = F.when(at < F.size(ranks), F.array(rank(best, F.get(parts, at + 1)))).otherwise(none)
                 near = F.concat(F.slice(ranks, F.lit(1), F.greatest(at - two, F.lit(0))), left, right,
                                 F.slice(ranks, at + two, F.size(ranks)))
-                return F.when(best.isNull(), acc).otherwise(F.struct(joined.alias("parts"), near.alias("ranks")))
-
-            return let(F.array_min(ranks), lambda best: let(
-                F.struct(best.alias("best"), F.array_position(ranks, best).cast("int").alias("at")), merge))
+                return F.struct(joined.alias("parts"), near.alias("ranks"))
 
-        digits = F.hex(word)
-        start = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.get(
-            lits["bytes"], (F.ascii(F.substring(digits, i, F.lit(1))) - 48) * 23 + F.ascii(F.substring(digits, i + 1, F.lit(1))) - 48))
+            return let(F.array_min(ranks), lambda best: F.when(best.isNull(), acc).otherwise(let(
+                F.struct(best.alias("best"), F.array_position(ranks, best).cast("int").alias("at")), merge)))
 
-        def run(parts: Column) -> Column:
-            ranks = F.slice(F.transform(parts, lambda x, i: rank(x, F.get(parts, i + 1))), F.lit(1), F.size(parts) - 1)
-            first = F.struct(parts.alias("parts"), ranks.alias("ranks"))
-            return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), first, step, lambda acc: acc["parts"])
+        ranks = F.slice(F.transform(word, lambda x, i: rank(x, F.get(word, i + 1))), F.lit(1), F.size(word) - 1)
+        first = F.struct(word.alias("parts"), ranks.alias("ranks"))
+        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), first, step, lambda acc: acc["parts"])
 
-        return F.array_join(let(start, run).cast("array<string>"), ",")
+    def _parts_maker(self) -> Callable[[list[str]], pa.Array]:
+        """A function from words to their arrays of byte ids, free of this object."""
+        table = self._bytes
+        return lambda words: _lists([table[np.frombuffer(w.encode(), np.uint8)].tobytes() for w in words])
 
     def with_words(self, texts: DataFrame, sample_rows: int, keep: int) -> ByteBpe:
-        """Remember the ids of the ``keep`` most frequent words of a sample of about ``sample_rows`` texts (doc_id, text)."""
-        sample = bounded_sample(texts.select("doc_id", "text"), "doc_id", sample_rows)
-        words = sample.select(F.explode(F.regexp_extract_all(text_of(), F.lit(self.pattern), F.lit(0))).alias("word"))
-        top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(keep).repartition(F.col("word"))
-        rows = top.select("word", self.encode(F.col("word"), cut=False).alias("ids")).collect()
-        self.words = {r["word"]: r["ids"] for r in rows}
+        """Remember the ids of the ``keep`` most frequent words, of 64 characters at most, of a sample of about ``sample_rows`` texts."""
+        ship_package(texts.sparkSession)
+        pattern, parts_of = self.pattern, self._parts_maker()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, seen = regex.compile(pattern).findall, Counter()
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    seen.update(find(text or ""))
+            rows = [(w, n) for w, n in seen.items() if len(w) <= LONGEST_KNOWN]
+            for start in range(0, len(rows), 50_000):
+                words, counts = zip(*rows[start:start + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
+        sample = bounded_sample(texts.select("doc_id", "text"), "doc_id", sample_rows).select(F.col("text").cast("string"))
+        top = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+        top = top.orderBy(F.desc("n"), "word").limit(keep).select("word").repartition("word")
+        parts = _arrow(top, lambda b: [b.column(0), parts_of(b.column(0).to_pylist())], "word string, parts array<int>")
+        rows = parts.select("word", self.fold(F.array("parts"))[0].alias("ids")).toArrow()
+        ids = rows.column("ids").combine_chunks()
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        self.words = {w: flat[a:b].astype("<i4").tobytes() for w, a, b in zip(rows.column("word").to_pylist(), ends[:-1], ends[1:])}
+        self._shared = None
         return self
 
-    def encode(self, text: Column, cut: bool = True) -> Column:
-        """Ids of a text joined by commas; with ``cut=False`` the text is one piece."""
-        buckets = max(1, len(self.words))
-        table: list[dict[str, str]] = [{} for _ in range(buckets)]
-        for word, ids in self.words.items():
-            table[_bucket(word.encode(), buckets)][word] = ids
-        literals = F.struct(
-            _literal(self._shifts, "array<int>").alias("shifts"), _literal(self._slots, "array<bigint>").alias("slots"),
-            _literal(self._bytes, "array<int>").alias("bytes"), _literal(table, "array<map<string,string>>").alias("known"))
-
-        def whole(lits: Column) -> Column:
-            def cached(word: Column) -> Column:
-                hit = F.try_element_at(F.get(lits["known"], F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")), word)
-                return F.coalesce(hit, self._fold(word, lits))
-
-            if not cut:
-                return self._fold(text, lits)
-            return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), cached), ",")
-
-        return let(literals, whole)
-
-    def decode(self, ids: Column) -> Column:
-        """Binary of ids joined by commas."""
-        pieces = _literal(self._pieces, "array<string>")
-        numbers = F.when(ids == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(ids, ","))
-        return let(pieces, lambda p: F.unhex(F.array_join(
-            F.transform(numbers, lambda x: F.get(p, x.cast("int"))), "")))
+    def cut(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, ids, fresh): ids of known words, and -k for the k-th of the text's distinct words that are not."""
+        if self._shared is None:
+            self._shared = documents.sparkSession.sparkContext.broadcast(self.words)
+        shared, pattern, parts_of = self._shared, self.pattern, self._parts_maker()
+
+        def each(batch: pa.RecordBatch) -> list[pa.Array]:
+            find, known = regex.compile(pattern).findall, shared.value
+            ids, fresh, counts = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = find(text or "")
+                new = dict.fromkeys(w for w in words if w not in known)
+                for k, w in enumerate(new, 1):
+                    new[w] = (-k).to_bytes(4, "little", signed=True)
+                ids.append(b"".join([known.get(w) or new[w] for w in words]))
+                fresh.extend(new)
+                counts.append(len(new))
+            ends = np.fromiter(accumulate(counts, initial=0), np.int32, len(counts) + 1)
+            return [batch.column(0), _lists(ids), pa.ListArray.from_arrays(pa.array(ends), parts_of(fresh))]
+
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        return _arrow(documents.select("doc_id", F.col("text").cast("string")), each,
+                      f"doc_id {kind}, ids array<int>, fresh array<array<int>>")
+
+    def encoded(self, documents: DataFrame, each: Callable[[np.ndarray], tuple], columns: str) -> DataFrame:
+        """(doc_id, columns) with ``each(ids)`` giving the columns of one text from all its ids."""
+        cut = self.cut(documents)
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        folded = cut.select("doc_id", "ids", F.when(F.size("fresh") > 0, self.fold(F.col("fresh"))).alias("folded"))
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            rows = []
+            for ids, new in zip(batch.column(1), batch.column(2)):
+                flat = ids.values.to_numpy()
+                if new.is_valid:
+                    flat = _filled(flat, [np.asarray(w.values, np.int32) for w in new])
+                rows.append(each(flat))
+            return [batch.column(0), *(pa.array(list(c)) for c in zip(*rows))]
+
+        return _arrow(folded, run, f"doc_id {kind}, {columns}")
+
+
+def _filled(ids: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """``ids`` with each -k replaced by the ids of the k-th word."""
+    gaps = np.flatnonzero(ids < 0)
+    parts, at = [], 0
+    for gap in gaps.tolist():
+        parts += (ids[at:gap], words[-int(ids[gap]) - 1])
+        at = gap + 1
+    return np.concatenate([*parts, ids[at:]])
 
 
 def encode_documents(documents: DataFrame, bpe: ByteBpe) -> DataFrame:
-    """(doc_id, ids, decoded): ids as text joined by commas, decoded as binary."""
-    encoded = documents.select("doc_id", bpe.encode(text_of()).alias("ids"))
-    return encoded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    """(doc_id, ids, decoded): ids as array<int>, decoded as binary."""
+    piece = bpe.pieces.__getitem__
+    return bpe.encoded(documents, lambda ids: (ids, b"".join(map(piece, ids.tolist()))), "ids array<int>, decoded binary")
 
 
 def report(documents: DataFrame, bpe: ByteBpe) -> DataFrame:
     """Token counts and digests of every row."""
-    ids = F.col("ids")
-    return encode_documents(documents, bpe).select(
-        "doc_id", F.when(ids == "", 0).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","))) + 1).cast("long").alias("n_tokens"),
-        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    pieces, names = bpe.pieces, [str(i) for i in range(len(bpe.pieces))]
+
+    def each(ids: np.ndarray) -> tuple[int, str, str]:
+        numbers = ids.tolist()
+        text, decoded = ",".join([names[i] for i in numbers]), b"".join([pieces[i] for i in numbers])
+        return len(numbers), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+    return bpe.encoded(documents, each, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ def op5_bootstrapped_pii(spark: SparkSession, root: str) -> DataFrame:
 
 def multilingual_bpe(documents: DataFrame) -> byte_bpe.ByteBpe:
     ranks = byte_bpe.read_ranks(documents.sparkSession, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).with_words(documents, sample_rows=6_000, keep=60_000)
+    return byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).with_words(documents, sample_rows=20_000, keep=300_000)
 
 
 def list_entries(spark: SparkSession, root: str) -> DataFrame:
