@@ -20,8 +20,9 @@ import json
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreg.llm.common import settle, shared_folder
+from docreg.llm.common import bounded_sample, settle, shared_folder
 from docreg.session import ship_package
 
 MAGIC = b"WVM1"
 NO_ID = -(1 << 63)
 END = 2
+LONGEST_KNOWN = 64
 
 
 class WaveletMatrix:
@@ -44,9 +46,13 @@ class WaveletMatrix:
 
     def __init__(self, planes: list[np.ndarray]):
         self.planes = planes
-        self.ones = [np.concatenate([[0], np.cumsum(p, dtype=np.int64)]) for p in planes]
         self.size = len(planes[0]) if planes else 0
-        self.zeros = [self.size - int(o[-1]) for o in self.ones]
+        self.zeros = [self.size - int(np.count_nonzero(p)) for p in planes]
+
+    @cached_property
+    def ones(self) -> list[np.ndarray]:
+        """Ranks of the one bits, built when first asked for."""
+        return [np.concatenate([[0], np.cumsum(p, dtype=np.int64)]) for p in self.planes]
 
     def rank(self, level: int, bit: int, i: int) -> int:
         """Bits equal to ``bit`` among the first ``i`` of a plane."""
@@ -153,48 +159,83 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes texts word by word.
 
     For tokenizers that drop white space and never join what it separates, a text's ids are
-    the ids of its words in order. The memory of words is emptied when full.
+    the ids of its words in order. ``known`` are words encoded beforehand; further words are
+    remembered until ``room`` of them are held, then those are forgotten.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, known: dict[bytes, bytes] | None = None, room: int = 100_000):
         self.tokenizer, self.room = _tokenizer(path), room
-        self.known: dict[bytes, bytes] = {}
+        self.known = known or {}
+        self.further: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.room:
-            self.known.clear()
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        known = self.known
         for text in texts:
             words = (text or "").encode().split()
-            fresh = set(words).difference(self.known)
-            if fresh:
-                self._learn(list(fresh if len(self.known) + len(fresh) <= self.room else set(words)))
-            known = self.known
-            yield b"".join([known[w] for w in words])
+            fresh = {w for w in words if w not in known}
+            new = list(fresh.difference(self.further))
+            if len(self.further) + len(new) > self.room:
+                self.further, new = {}, list(fresh)
+            further = self.further
+            if new:
+                further.update(zip(new, self.ids_of(new)))
+            yield b"".join([known[w] if w in known else further[w] for w in words])
+
+
+def frequent_words(documents: DataFrame, tokenizer: str, sample_rows: int, keep: int) -> dict[bytes, bytes]:
+    """Ids of the ``keep`` most frequent words, of 64 bytes at most, of a sample of about ``sample_rows`` texts."""
+    ship_package(documents.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update((text or "").encode().split())
+        rows = [(w, n) for w, n in seen.items() if len(w) <= LONGEST_KNOWN]
+        for start in range(0, len(rows), 50_000):
+            words, counts = zip(*rows[start:start + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokenizer)
+        for batch in batches:
+            ids = encoder.ids_of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    sample = bounded_sample(documents.select("doc_id", "text"), "doc_id", sample_rows).select(F.col("text").cast("string"))
+    top = sample.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    top = top.orderBy(F.desc("n"), "word").limit(keep).select("word").repartition("word")
+    rows = top.mapInArrow(learn, "word binary, ids binary").toArrow()
+    return dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist()))
 
 
-def write_shards(documents: DataFrame, folder: str, tokenizer: str, max_tokens: int = 4_000_000) -> DataFrame:
+def write_shards(documents: DataFrame, folder: str, tokenizer: str, max_tokens: int = 4_000_000,
+                 sample_rows: int = 20_000, keep: int = 300_000) -> DataFrame:
     """Encode ``documents`` into files under ``folder``; returns the (settled) list (file, tokens, documents).
 
     A shard is a range of doc_id; one of more than ``max_tokens`` ids goes on in further
-    files, so a task never holds more. File names sort in doc_id order.
+    files, so a task never holds more. File names sort in doc_id order. Frequent words of a
+    bounded sample are encoded once and broadcast; they save work and never change an id.
     """
     ship_package(documents.sparkSession)
     ordered = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     schema = "file string, tokens bigint, documents bigint"
+    words = documents.sparkSession.sparkContext.broadcast(frequent_words(ordered, tokenizer, sample_rows, keep))
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(place, recursive=True)
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = WordEncoder(tokenizer, words.value), TaskContext.get().partitionId()
         end, number = np.array([END], "<u4").tobytes(), 0
         ids: list[bytes] = []
         names: list[int | None] = []
