@@ -166,7 +166,7 @@ class WordEncoder:
     remembered until ``room`` of them are held, then those are forgotten.
     """
 
-    def __init__(self, path: str, known: dict[bytes, bytes] | None = None, room: int = 100_000):
+    def __init__(self, path: str, known: dict[bytes, bytes] | None = None, room: int = 200_000):
         self.tokenizer, self.room = _tokenizer(path), room
         self.known = known or {}
         self.further: dict[bytes, bytes] = {}
@@ -181,14 +181,18 @@ class WordEncoder:
         known = self.known
         for text in texts:
             words = (text or "").encode().split()
-            fresh = {w for w in words if w not in known}
-            new = list(fresh.difference(self.further))
+            own = dict.fromkeys(words)
+            for w in own:
+                own[w] = known.get(w)
+            fresh = [w for w, ids in own.items() if ids is None]
+            new = [w for w in fresh if w not in self.further]
             if len(self.further) + len(new) > self.room:
-                self.further, new = {}, list(fresh)
-            further = self.further
+                self.further, new = {}, fresh
             if new:
-                further.update(zip(new, self.ids_of(new)))
-            yield b"".join([known[w] if w in known else further[w] for w in words])
+                self.further.update(zip(new, self.ids_of(new)))
+            for w in fresh:
+                own[w] = self.further[w]
+            yield b"".join([own[w] for w in words])
 
 
 def frequent_words(documents: DataFrame, tokenizer: str, sample_rows: int, keep: int) -> dict[bytes, bytes]:
