@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# UTF-16 surrogates start at 0xD800; codes are handed out from 256 upwards.
-_MAX_WORDS = 0xD800 - 256
+# Codes run from 256 up to the surrogates at 0xD800 and go on in the planes from 0x10000 on.
+_FIRST, _SURROGATES, _PLANES = 256, 0xD800, 0x10000
+_MAX_WORDS = _SURROGATES - _FIRST + 0x110000 - _PLANES
 
 
 def char_distance(reference: Column, hypothesis: Column) -> Column:
@@ -42,8 +43,9 @@ def _encoded_distance(pair: Column, distinct: Column) -> Column:
     ref, hyp = pair["ref"], pair["hyp"]
 
     def encode(tokens: Column) -> Column:
-        code = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(distinct, w) + 255), 4, "0"))
-        return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+        plain = F.transform(tokens, lambda w: F.array_position(distinct, w) + (_FIRST - 1))
+        code = F.transform(plain, lambda c: F.lpad(F.hex(F.when(c < _SURROGATES, c).otherwise(c + (_PLANES - _SURROGATES))), 8, "0"))
+        return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
     too_many = F.raise_error(F.lit(f"more than {_MAX_WORDS} distinct words in one pair"))
     return (

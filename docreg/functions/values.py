@@ -195,8 +195,8 @@ def evidence(dataset: Column, samples: Column, evaluated_at: Column) -> Column:
 
 
 def decode_data_url(c: Column) -> Column:
-    """Bytes of a base64 string, with or without a ``data:...,`` prefix."""
-    return F.unbase64(F.regexp_replace(c, "^[^,]*,", ""))
+    """Bytes of a base64 string, with or without a ``data:...,`` prefix; NULL where it is not base64."""
+    return F.try_to_binary(F.regexp_replace(c, "^[^,]*,", ""), F.lit("base64"))
 
 
 def initials(name: Column) -> Column:

@@ -431,8 +431,8 @@ _SQL: dict[str, str] = {
     "request_search_own": """
         SELECT q.id, q.record_id, q.status FROM requests q LEFT JOIN records r ON r.id = q.record_id
         LEFT JOIN document_types t ON t.id = r.document_type_id
-        WHERE requested_by = 7 AND q.status = 'pending' AND (coalesce(reason ILIKE '%amer%', false) OR coalesce(registry_number ILIKE '%amer%', false)
-          OR coalesce(t.name ILIKE '%amer%', false) OR coalesce(t.short_name ILIKE '%amer%', false))""",
+        WHERE requested_by = 7 AND q.status = 'pending' AND (coalesce(reason ILIKE '%euro%', false) OR coalesce(registry_number ILIKE '%euro%', false)
+          OR coalesce(t.name ILIKE '%euro%', false) OR coalesce(t.short_name ILIKE '%euro%', false))""",
     "request_queue_page": f"""
         SELECT id, status, strftime(created_at, {_STAMP}) AS created_at FROM requests q
         ORDER BY status = 'pending' DESC, q.created_at DESC, id DESC LIMIT 15 OFFSET 15""",

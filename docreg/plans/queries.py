@@ -220,7 +220,7 @@ def request_search_moderator(r: Registry) -> DataFrame:
 @query
 def request_search_own(r: Registry) -> DataFrame:
     return filters.request_search(
-        r.change_requests, r.records, r.document_types, r.users, user_id=USER, can_moderate=False, q="AMER", status="pending",
+        r.change_requests, r.records, r.document_types, r.users, user_id=USER, can_moderate=False, q="Euro", status="pending",
     ).select("id", "record_id", "status")
 
 

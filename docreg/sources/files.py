@@ -38,12 +38,14 @@ def read_manifest(spark: SparkSession, path: str, columns: tuple[str, ...] = sch
     ], "ord")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, filename, length, path): every file below ``root``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", "length", "modificationTime")
-    )
+def _binary_files(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+
+
+def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(folder, filename, length, path, modificationTime): every file below ``root``; contents are not read."""
+    files = _binary_files(spark, root, glob).select("path", "length", "modificationTime")
     parts = F.split("path", "/")
     return files.select(
         F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("filename"),
@@ -79,11 +81,15 @@ def model_inventory(files: DataFrame, base_key: str = "base") -> DataFrame:
         F.sort_array(F.collect_set("filename")).alias("files"))
 
 
-def read_evaluation_reports(spark: SparkSession, root: str, glob: str = f"*/{REPORT_FILE}") -> DataFrame:
+def read_evaluation_reports(
+    spark: SparkSession, root: str, glob: str = f"*/{REPORT_FILE}", max_bytes: int | None = None,
+) -> DataFrame:
     """One row per report: (model_folder, size, <report columns>).
 
-    A report above the size limit, or one that is not a JSON object, keeps its row with an error.
+    A report that is not a JSON object keeps its row with an error. So does one above
+    ``max_bytes`` (none by default; ``MAX_REPORT_BYTES`` is the usual limit), which is not parsed.
     """
+    too_large = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     raw = (
         spark.read.text(f"{root}/{glob}", wholetext=True)
         .select(
@@ -92,30 +98,34 @@ def read_evaluation_reports(spark: SparkSession, root: str, glob: str = f"*/{REP
         )
     )
     parsed = raw.withColumn(
-        "report", F.when(F.col("size") <= MAX_REPORT_BYTES, F.from_json("value", schemas.EVALUATION_REPORT))
+        "report", F.when(~too_large, F.from_json("value", schemas.EVALUATION_REPORT))
     )
     return parsed.select(
         "model_folder", "size",
-        F.when(F.col("size") > MAX_REPORT_BYTES, F.lit("the report is larger than 1 MB")).alias("read_error"),
+        F.when(too_large, F.lit(f"the report is larger than {(max_bytes or 0) / MAX_REPORT_BYTES:g} MB")).alias("read_error"),
         "report.*",
     )
 
 
 def file_digest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, folder, filename, length, sha256) of each file (each below 2 GB, the row limit)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    """(path, folder, filename, length, modificationTime, sha256) of each file (each below 2 GB, the row limit)."""
+    return _digested(_binary_files(spark, path, glob))
+
+
+def _digested(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
-    return reader.load(path).select(
+    return files.select(
         "path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("filename"),
-        "length", F.sha2("content", 256).alias("sha256"),
+        "length", "modificationTime", F.sha2("content", 256).alias("sha256"),
     )
 
 
 def refresh_digests(spark: SparkSession, root: str, known: DataFrame, glob: str | None = None) -> DataFrame:
-    """Digest only files whose (path, length) is not in ``known`` yet; returns the full table."""
-    current = list_files(spark, root)
-    fresh = file_digest(spark, root, glob).join(known, ["path", "length"], "left_anti")
-    kept = known.join(current.select("path", "length"), ["path", "length"], "left_semi")
+    """Digest only files whose (path, length, modificationTime) is not in ``known`` yet; returns the full table.
+
+    A rewritten file of equal length is digested again. Known files are dropped before the digest.
+    """
+    version = ["path", "length", "modificationTime"]
+    fresh = _digested(_binary_files(spark, root, glob).join(known.select(*version), version, "left_anti"))
+    kept = known.join(list_files(spark, root, glob).select(*version), version, "left_semi")
     return kept.unionByName(fresh.select(*kept.columns))

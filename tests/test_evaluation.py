@@ -180,7 +180,9 @@ def test_report_checks(spark, rows, tmp_path):
     (tmp_path / "empty").mkdir()
     (tmp_path / "empty" / "config.json").write_text("{}")
     root = str(tmp_path)
-    reports = FS.read_evaluation_reports(spark, root)
+    reports = FS.read_evaluation_reports(spark, root, max_bytes=FS.MAX_REPORT_BYTES)
+    whole = {r.model_folder: r for r in FS.read_evaluation_reports(spark, root).collect()}
+    assert whole["big"].read_error is None and len(whole["big"].model_key) == 1024 * 1024
     digests = FS.file_digest(spark, root, "model.safetensors")
     got = {r.model_folder: r for r in quality.validate_reports(reports, digests).collect()}
     errors = {k: r.error for k, r in got.items()}
@@ -192,6 +194,9 @@ def test_report_checks(spark, rows, tmp_path):
     assert FS.storage_usage(listed).first().file_count == 7 * 3 + 1
     first = FS.file_digest(spark, root, "model.safetensors")
     assert FS.refresh_digests(spark, root, first, "model.safetensors").count() == 7
+    stale = first.withColumn("modificationTime", F.col("modificationTime") - F.expr("interval 1 hour")).withColumn("sha256", F.lit("old"))
+    again = FS.refresh_digests(spark, root, stale, "model.safetensors").collect()
+    assert len(again) == 7 and all(len(r.sha256) == 64 for r in again)
     table = E.build_evaluation_report(rows("cer double, wer double, accuracy double, total long", (.1, .2, .9, 5)), model_key="m", dataset="d",
                                       manifest_sha256="0", weights_file="w", weights_sha256="1", evaluated_at="t")
     assert json.loads(table.first().value)["metrics"] == {"cer": .1, "wer": .2, "exact_match": .9}

@@ -121,3 +121,9 @@ def test_word_distance_against_brute_force(spark, rows):
     df = rows("r string, h string", *pairs).coalesce(1)
     got = [r.w for r in one(df, w=word_distance(F.col("r"), F.col("h")))]
     assert got == [brute(r.split(), h.split()) for r, h in pairs]
+
+
+def test_word_distance_past_the_surrogates(spark, rows):
+    many = [f"w{i}" for i in range(55_400)]
+    df = rows("r string, h string", (" ".join(many), " ".join([many[0], many[55_050], "other", many[-1]])))
+    assert one(df, w=word_distance(F.col("r"), F.col("h")))[0].w == 55_400 - 3
