@@ -2,7 +2,7 @@
 
 Base entities (email, ip, card, phone) are found by regular expressions with their checks.
 They seed a bootstrap: words around an entity are lexical patterns, identifier-like words
-(with a digit or an at sign) are instances, and the graph of patterns and instances is scored
+(with a digit or an at sign) or groups of such words are instances, and the graph of patterns and instances is scored
 in rounds. A pattern is as good as the share of its places whose instance is trusted; an
 instance as its best pattern. Patterns that are good enough, and seen with enough different
 trusted instances, report the identifiers the base patterns missed, as kind ``id``.
@@ -77,31 +77,80 @@ def _row_key(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
+def _instances(words: Column, base: Column) -> Column:
+    """Array of (start, end, value, near, after, seed): identifier words of one text put together.
+
+    Words that one base span touches are one instance, and so are neighbouring words outside
+    the base spans with only blanks between, unless punctuation parts them.
+    """
+    def touched(start: Column, end: Column) -> Column:
+        return F.exists(base, lambda s: (s["start"] < end) & (s["end"] > start))
+
+    def marked(w: Column, i: Column) -> Column:
+        return F.struct(
+            w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), w["before"].alias("before"),
+            w["after"].alias("after"), i.alias("at"), touched(w["start"], w["end"]).alias("seed"))
+
+    def joins(ws: Column, w: Column) -> Column:
+        def joined(last: Column) -> Column:
+            inside = F.exists(base, lambda s: (s["start"] < last["end"]) & (s["end"] > w["start"]))
+            apart = last["seed"] | w["seed"] | ~w["before"].rlike(r"^\x20+$")
+            return F.when(last["seed"] & w["seed"] & inside, True).when(apart, False).otherwise(
+                last["value"].rlike(r"[\p{L}\p{N})-]$") & w["value"].rlike(r"^[\p{L}\p{N}(]"))
+
+        return F.when(w["at"] > 0, let(F.get(ws, w["at"] - 1), joined)).otherwise(F.lit(False))
+
+    def text_at(ws: Column, at: Column, part: str) -> Column:
+        return F.coalesce(F.get(ws, at)[part], F.lit(""))
+
+    def built(ws: Column, first: Column, stop: Column) -> Column:
+        run = F.slice(ws, first + 1, stop - first)
+        value = F.array_join(F.transform(run, lambda w: F.concat(
+            F.when(w["at"] == first, "").otherwise(w["before"]), w["value"])), "")
+        # The two words before are the neighbours or lie in the gaps between them.
+        near = F.concat(text_at(ws, first - 2, "value"), F.right(text_at(ws, first - 1, "before"), F.lit(CONTEXT)),
+                        text_at(ws, first - 1, "value"), F.right(text_at(ws, first, "before"), F.lit(CONTEXT)))
+        after = F.concat(F.left(text_at(ws, stop - 1, "after"), F.lit(CONTEXT)), text_at(ws, stop, "value"))
+        return F.struct(
+            F.get(ws, first)["start"].alias("start"), F.get(ws, stop - 1)["end"].alias("end"), value.alias("value"),
+            F.right(near, F.lit(CONTEXT)).alias("near"), F.left(after, F.lit(CONTEXT)).alias("after"),
+            F.get(ws, first)["seed"].alias("seed"))
+
+    def grouped(ws: Column) -> Column:
+        heads = F.transform(F.filter(ws, lambda w: ~joins(ws, w)), lambda w: w["at"])
+        return let(heads, lambda h: F.transform(h, lambda first, k: built(
+            ws, first, F.coalesce(F.get(h, k + 1), F.size(ws)))))
+
+    return let(F.transform(words, marked), grouped)
+
+
 def _mentions(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, end, value, patterns, seed) of every identifier-like word."""
-    rows = _row_key(documents).where(F.col("text").rlike("[0-9@]")).select(
-        "doc_id", "mark", let(F.col("text"), lambda t: F.struct(
-            base_spans(t).alias("base"), spans_of(t, IDENTIFIER).alias("words"))).alias("m"))
-    words = rows.select("doc_id", "mark", F.concat(*[F.col(f"m.base.{k}") for k in KINDS]).alias("base"),
-                        F.explode("m.words").alias("w"))
-    clean = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}]", "")
-    near, after = F.right(F.col("w.before"), F.lit(CONTEXT)), F.left(F.col("w.after"), F.lit(CONTEXT))
+    """(doc_id, mark, start, end, value, patterns, seed) of every identifier, be it one word or a group of words."""
+    def found(t: Column) -> Column:
+        return let(F.struct(let(base_spans(t), lambda b: F.concat(*[b[k] for k in KINDS])).alias("base"),
+                            spans_of(t, IDENTIFIER).alias("words")), lambda m: _instances(m["words"], m["base"]))
+
+    words = _row_key(documents).where(F.col("text").rlike("[0-9@]")).select(
+        "doc_id", "mark", F.explode(let(F.col("text"), found)).alias("w"))
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}]", "")
+    # A number beside an instance stands for any number.
+    clean = lambda c: F.when((letters(c) == "") & c.rlike("[0-9]"), "#").otherwise(letters(c))
+    near, after = F.col("w.near"), F.col("w.after")
     left = F.regexp_extract(near, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 2)
     earlier = F.regexp_extract(near, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+$", 1)
     right = F.regexp_extract(after, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
-    # Punctuation around a word is no part of an identifier.
+    # Punctuation around an instance is no part of it.
     core = F.regexp_extract(F.col("w.value"), r"^[^\p{L}\p{N}+]*(.*?)[^\p{L}\p{N}]*$", 1)
     lead = F.length(F.regexp_extract(F.col("w.value"), r"^([^\p{L}\p{N}+]*)", 1))
     out = words.select(
-        "doc_id", "mark", "base", (F.col("w.start") + lead).alias("start"),
+        "doc_id", "mark", F.col("w.seed").alias("seed"), (F.col("w.start") + lead).alias("start"),
         (F.col("w.start") + lead + F.length(core)).alias("end"), F.lower(core).alias("value"),
         clean(left).alias("l"), clean(earlier).alias("e"), clean(right).alias("r")).where(F.length("value") >= 5)
-    seed = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     patterns = F.filter(F.array(
         F.when((F.col("l") != "") & (F.col("e") != ""), F.concat_ws(" ", F.col("e"), F.col("l"), F.lit("_"))),
         F.when((F.col("l") != "") & (F.col("r") != ""), F.concat_ws(" ", F.col("l"), F.lit("_"), F.col("r")))),
         lambda p: p.isNotNull())
-    return out.select("doc_id", "mark", "start", "end", "value", seed.alias("seed"), patterns.alias("patterns"))
+    return out.select("doc_id", "mark", "start", "end", "value", "seed", patterns.alias("patterns"))
 
 
 def bootstrap(documents: DataFrame, rounds: int = 3, min_confidence: float = 0.8, min_instances: int = 3) -> DataFrame:
