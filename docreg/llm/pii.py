@@ -2,8 +2,8 @@
 
 Base entities (email, ip, card, phone) are found by regular expressions with their checks.
 They seed a bootstrap: words around an entity are lexical patterns, identifier-like words
-(with a digit or an at sign) or groups of such words are instances, and the graph of patterns and instances is scored
-in rounds. A pattern is as good as the share of its places whose instance is trusted; an
+(with a digit or an at sign) or groups of such words are instances, and the graph of patterns
+and instances is scored in rounds until nothing changes. A pattern is as good as the share of its places whose instance is trusted; an
 instance as its best pattern. Patterns that are good enough, and seen with enough different
 trusted instances, report the identifiers the base patterns missed, as kind ``id``.
 
@@ -153,23 +153,34 @@ def _mentions(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "mark", "start", "end", "value", "seed", patterns.alias("patterns"))
 
 
-def bootstrap(documents: DataFrame, rounds: int = 3, min_confidence: float = 0.8, min_instances: int = 3) -> DataFrame:
-    """(doc_id, mark, start, end) of identifiers that trusted patterns discover beside the base entities."""
+def bootstrap(documents: DataFrame, min_confidence: float = 0.8, min_instances: int = 3) -> DataFrame:
+    """(doc_id, mark, start, end) of identifiers that trusted patterns discover beside the base entities.
+
+    Rounds go on until no score changes. Scores only rise and are kept to six decimals, so
+    that the rounds end.
+    """
     mentions = settle(_mentions(documents))
     # One row per edge of the graph, so that a frequent pattern or value is one sum.
     edges = settle(mentions.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(
         F.count("*").alias("n"), F.bool_or("seed").alias("seed")))
-    values = settle(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")))
-    good = None
-    for _ in range(rounds):
-        scored = edges.join(values, "value")
+    # A pattern with too few instances can never be good, whatever their scores.
+    able = edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= min_instances)
+    able_edges = settle(edges.join(able.select("pattern"), "pattern"))
+    values = settle(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")).join(
+        able_edges.select("value").distinct(), "value"))
+    while True:
+        scored = able_edges.join(values, "value")
         patterns = settle(scored.groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"),
+            F.round(F.sum(F.col("n") * F.col("score")) / F.sum("n"), 6).alias("confidence"),
             F.count_if(F.col("score") >= min_confidence).alias("trusted")))
         good = patterns.where((F.col("confidence") >= min_confidence) & (F.col("trusted") >= min_instances))
-        reached = edges.join(good, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
-        values = settle(values.join(reached, "value", "left").select(
-            "value", F.greatest("score", F.coalesce("reached", F.lit(0.0))).alias("score")))
+        reached = able_edges.join(good, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
+        risen = settle(values.join(reached, "value", "left").select(
+            "value", F.greatest("score", F.coalesce("reached", F.lit(0.0))).alias("score"),
+            (F.coalesce("reached", F.lit(0.0)) > F.col("score")).alias("rose")))
+        if risen.where("rose").isEmpty():
+            break
+        values = risen.drop("rose")
     places = mentions.where(~F.col("seed")).select("doc_id", "mark", "start", "end", F.explode("patterns").alias("pattern"))
     return settle(places.join(good.select("pattern"), "pattern").select("doc_id", "mark", "start", "end").distinct())
 
