@@ -345,5 +345,21 @@ def test_wavelet_shards_equal_the_tokenizer(spark):
     assert wavelet.round_trip(df.limit(0), path).count() == 0
 
 
+def test_wavelet_shards_keep_special_literals(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["<|endoftext|>", "<|startoftext|>", "a b<|endoftext|> c <|startoftext|>", "in<|startoftext|>side wo<|endoftext|>rd",
+             "<|endoftext|><|endoftext|> x", "<|endoftext|", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in wavelet.round_trip(df, path).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    at = 0
+    for doc_id, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes())), text
+        at += len(ids)
+    assert tokenizer.encode(texts[2], add_special_tokens=False).ids == [320, 321, 49407, 322, 49406]
+
+
 def test_null_text_is_empty(spark):
     assert spark.range(1).select(F.lit(None).cast("string").alias("text")).select(text_of()).first()[0] == ""
