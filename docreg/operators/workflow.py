@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from docreg.functions import values as V
 from docreg.functions.prefix import ranked, running
-from docreg.schemas import MAX_FIELDS
 
 # --- fixed values -----------------------------------------------------------
 NOTE_MIN, NOTE_MAX = 5, 2000
@@ -338,15 +337,12 @@ def approved_entries(approved: Approved) -> DataFrame:
 
 
 def approved_audit(approved: Approved) -> DataFrame:
-    """One row per approval with before/after maps by field name.
+    """One row per approval with before/after maps by field name, whatever its size.
 
-    A request holds at most 450 items by rule. One that breaks the rule keeps its
-    count here with NULL maps; its values are all in ``approved_entries``.
+    ``approved_entries`` holds the same values in long form.
     """
     entries = approved_entries(approved)
-    counts = entries.groupBy("request_id", "record_id").agg(F.count("*").alias("_n"))
-    within = entries.join(counts.where(F.col("_n") <= MAX_FIELDS + 1).select("request_id"), "request_id", "left_semi")
-    maps = within.groupBy("request_id").agg(*[
+    maps = entries.groupBy("request_id").agg(F.count("*").alias("_n"), *[
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("name"), F.col(side))))).alias(side + "s")
         for side in ("old_value", "new_value")
     ])
@@ -355,8 +351,7 @@ def approved_audit(approved: Approved) -> DataFrame:
     who = approved.requests.select(
         F.col("id").alias("request_id"), F.col("record_id").alias("auditable_id"), F.col("reviewed_by").alias("user_id"))
     return (
-        done.join(who, "request_id", "inner").join(counts.drop("record_id"), "request_id", "left")
-        .join(maps, "request_id", "left").select(
+        done.join(who, "request_id", "inner").join(maps, "request_id", "left").select(
             F.lit("change_request.approved").alias("action"), F.lit("Record").alias("auditable_type"),
             "auditable_id", "user_id",
             F.format_string(APPROVED,

@@ -563,6 +563,12 @@ _SQL: dict[str, str] = {
         SELECT d.record_id AS auditable_id, d.requested_by AS user_id, 'Approved change request #' || d.request_id || ' and applied '
           || (coalesce(n.n, 0) + CASE WHEN d.changes_registry_number THEN 1 ELSE 0 END) || ' value(s).' AS description
         FROM decided d LEFT JOIN n USING (request_id) WHERE d.outcome = 'approved'""",
+    "approved_entries": """
+        WITH e AS (
+          SELECT request_id, item_id, name, CASE WHEN nth = 1 THEN verified_value ELSE before_value END AS old_value, new_value FROM applying
+          UNION ALL SELECT request_id, NULL, 'Registry Number', CASE WHEN nth = 1 THEN registry_number ELSE before_value END, proposed_registry_number FROM renumbering),
+        last AS (SELECT *, row_number() OVER (PARTITION BY request_id, name ORDER BY item_id IS NULL DESC, item_id DESC) AS back FROM e)
+        SELECT l.request_id, d.record_id, l.name, l.old_value, l.new_value FROM last l JOIN decided d USING (request_id) WHERE back = 1""",
     "reject_requests": """
         WITH d AS (SELECT id, requested_by, CASE WHEN id % 5 <> 0 THEN 'note ' || id ELSE 'no' END AS note, reviewed_by, status FROM requests),
         e AS (SELECT *, status = 'pending' AND length(note) BETWEEN 5 AND 2000 AS hit FROM d)

@@ -494,6 +494,11 @@ def approved_audit(r: Registry) -> DataFrame:
     return workflow.approved_audit(_approved(r)).select("auditable_id", "user_id", "description")
 
 
+@query
+def approved_entries(r: Registry) -> DataFrame:
+    return workflow.approved_entries(_approved(r))
+
+
 @query
 def reject_requests(r: Registry) -> DataFrame:
     moved, _ = workflow.reject_requests(r.change_requests, _decisions(r))

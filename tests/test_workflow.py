@@ -91,6 +91,18 @@ def test_approval_applies_all_or_nothing(rows, records, fields):
     assert log.new_values == {"Wife Full Name": "Maria", "Remarks": None, "Registry Number": "N-1"}
 
 
+def test_approval_of_many_fields_keeps_its_values(rows, records, fields):
+    fresh = [(1000 + i, 1, f"field {i}") for i in range(500)]
+    wide = fields.unionByName(rows("id long, record_id long, name string", *fresh), allowMissingColumns=True)
+    a = approve(rows, records, wide, [(1, 1, "pending", False, None, 5, None, None, T0)],
+                [(i, 1, n[0], "", f"v{i}") for i, n in enumerate(fresh)], (1, 7, T0, None))
+    log = W.approved_audit(a).first()
+    assert log.description == "Approved change request #1 and applied 500 value(s)."
+    assert log.old_values == {n[2]: None for n in fresh}
+    assert log.new_values == {n[2]: f"v{i}" for i, n in enumerate(fresh)}
+    assert W.approved_entries(a).count() == 500
+
+
 def test_last_approval_stands_and_null_is_a_value(rows, records, fields):
     a = approve(rows, records, fields,
                 [(1, 1, "pending", False, None, 5, None, None, T0), (2, 1, "pending", False, None, 5, None, None, T0)],
