@@ -1,7 +1,7 @@
 """Fields of a document grouped into people.
 
 Output is long: one row per field with record_id, field_id, kind, number, group_id,
-label, position. No group is ever collected outside the 450-field rule.
+label, position.
 """
 
 from __future__ import annotations
@@ -98,21 +98,15 @@ def _median(values) -> float:
 def _rows_by_height(cy: np.ndarray, x: np.ndarray, height: np.ndarray) -> list[np.ndarray]:
     """Row clusters (index arrays ordered by x) from top to bottom; input is sorted by (cy, x)."""
     reach = max(ROW_FLOOR, _median(height) * ROW_SHARE)
-    sums, counts, member = np.empty(0), np.empty(0), np.empty(len(cy), dtype=int)
+    # Centres ascend, so the nearest cluster is always the latest one, and the means ascend too.
+    starts, total, count = [], 0.0, 0
     for i, centre in enumerate(cy):
-        gap = np.abs(sums / counts - centre) if len(sums) else np.empty(0)
-        near = int(gap.argmin()) if len(gap) else -1
-        if near < 0 or gap[near] > reach:
-            near, sums, counts = len(sums), np.append(sums, 0.0), np.append(counts, 0.0)
-        sums[near] += centre
-        counts[near] += 1
-        member[i] = near
-    means = sums / counts
-    rows = []
-    for row in np.argsort(means, kind="stable"):
-        inside = np.flatnonzero(member == row)
-        rows.append(inside[np.argsort(x[inside], kind="stable")])
-    return rows
+        if count == 0 or abs(total / count - centre) > reach:
+            starts.append(i)
+            total, count = 0.0, 0
+        total += centre
+        count += 1
+    return [part[np.argsort(x[part], kind="stable")] for part in np.split(np.arange(len(cy)), starts[1:])]
 
 
 def _column_reach(width: np.ndarray, centres: np.ndarray) -> float:
@@ -208,17 +202,21 @@ def _infer(workspace: bool):
         return frame[["record_id", "field_id"]].assign(number=number, position=position, found=found)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held = []
         for frame in frames:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
             ids = frame["record_id"].to_numpy()
-            start = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
-            held = frame.iloc[start:]
-            if start:
+            if not len(ids):
+                continue
+            last = np.flatnonzero(ids != ids[-1])
+            start = int(last[-1]) + 1 if len(last) else 0
+            if held and (start or held[-1]["record_id"].iloc[-1] != ids[-1]):
+                yield complete(pd.concat([*held, frame.iloc[:start]], ignore_index=True))
+                held = []
+            elif start:
                 yield complete(frame.iloc[:start])
-        if held is not None and len(held):
-            yield complete(held)
+            held.append(frame.iloc[start:])
+        if held:
+            yield complete(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -229,7 +227,7 @@ FEWEST_BOXES = 9
 
 def _inferred(sized: DataFrame, workspace: bool) -> DataFrame:
     """Geometry for documents that can hold a register; the rest is placed by built-in ranking."""
-    possible = F.col("_size").between(FEWEST_BOXES, MAX_FIELDS)
+    possible = F.col("_size") >= FEWEST_BOXES
     boxes = sized.where(possible).select(
         "record_id", F.col("id").alias("field_id"), "sort_order", "x", "y", "width", "height")
     out = T.StructType([
@@ -255,8 +253,7 @@ def field_groups_inferred(fields: DataFrame, workspace: bool = False) -> DataFra
 
     ``workspace=False`` is the archive rule, ``True`` the rule of the validation
     workspace (other tie-breaks, best-aligned prototype row, longest unbroken run).
-    A document may hold 450 fields; one that breaks this rule is no valid layout, so
-    all its fields are listed under 'Record details' without entering a Python task.
+    A document of any size is inferred; ``check_field_count`` reports those above 450 fields.
     """
     return _inferred(_with_size(fields), workspace)
 

@@ -365,17 +365,17 @@ def field_groups_persisted(r: Registry) -> DataFrame:
 
 @query
 def field_groups_inferred(r: Registry) -> DataFrame:
-    return grouping.field_groups_inferred(r.record_fields)
+    return grouping.field_groups_inferred(r.sheet_fields)
 
 
 @query
 def field_groups_workspace(r: Registry) -> DataFrame:
-    return grouping.field_groups_workspace(r.record_fields)
+    return grouping.field_groups_workspace(r.sheet_fields)
 
 
 @query
 def field_groups(r: Registry) -> DataFrame:
-    return grouping.field_groups(r.record_fields)
+    return grouping.field_groups(r.sheet_fields)
 
 
 @query

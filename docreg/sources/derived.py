@@ -126,6 +126,30 @@ class Registry:
             line.alias("sort_order"),
         )
 
+    @property
+    def sheet_fields(self) -> DataFrame:
+        """Boxes of register sheets: a sheet holds the orders of a range of keys, one row of boxes per order.
+
+        Every fifth sheet bears stored groups and every eleventh holds a longer range.
+        """
+        key, line, supp = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+        long = F.floor(key / 640) % 11 == 0
+        span = F.when(long, 640).otherwise(40)
+        sheet = F.when(long, F.floor(key / 640) * 16).otherwise(F.floor(key / 40)).cast("long")
+        row = key % span
+        return self.table("lineitem").select(
+            line_id().alias("id"),
+            sheet.alias("record_id"),
+            F.concat(F.lit("Field "), line.cast("string")).alias("name"),
+            F.when(sheet % 5 == 0, (row % 4).cast("int")).alias("person_group"),
+            F.when(sheet % 5 == 0, line).cast("int").alias("person_field_order"),
+            F.when(F.col("l_partkey") % 29 != 0, 0.05 + (line - 1) * 0.12).cast("double").alias("x"),
+            ((row + supp % 5 * 0.02) / span).cast("double").alias("y"),
+            (F.col("l_quantity") / 2000.0 + 0.05).cast("double").alias("width"),
+            (0.5 / span).cast("double").alias("height"),
+            (row * 10 + line).cast("int").alias("sort_order"),
+        )
+
     @property
     def change_requests(self) -> DataFrame:
         """Two requests per record."""

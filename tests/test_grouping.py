@@ -95,6 +95,39 @@ def test_small_documents_agree_with_the_python_path(rows, spark):
         assert quick == slow
 
 
+def test_register_above_the_limit_keeps_its_people(rows):
+    f = rows(FIELD, *register(1, [i * .1 for i in range(200)]), *register(2, [.2, .35, .5]))
+    for got in (G.field_groups(f), G.field_groups_workspace(f)):
+        people = groups(got)
+        assert len(people) == 200 and people[("person-200", "Person 200")] == [597, 598, 599]
+        assert len(groups(got, 2)) == 3
+
+
+def test_a_document_cut_by_batch_edges_is_put_together():
+    import pandas as pd
+    data = pd.DataFrame([(d[1], d[0], d[11], *d[7:11]) for rec, ys in ((1, [.2, .3, .4]), (2, [.1 * i for i in range(20)]), (3, [.2, .5, .8]))
+                         for d in register(rec, ys)], columns=["record_id", "field_id", "sort_order", "x", "y", "width", "height"])
+    whole = pd.concat(G._infer(False)(iter([data])), ignore_index=True)
+    assert whole.groupby("record_id").number.max().to_dict() == {1: 3, 2: 20, 3: 3}
+    for size in (1, 4, 7, 9, 30):
+        parts = (data.iloc[i:i + size].reset_index(drop=True) for i in range(0, len(data), size))
+        assert pd.concat(G._infer(False)(parts), ignore_index=True).equals(whole)
+
+
+def test_registered_grouping_queries_return_people(spark):
+    import os
+    import __spark_entry__ as entry
+    root = os.environ.get("DOCREG_TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(root):
+        pytest.skip("no test data")
+    for name in ("field_groups", "field_groups_inferred", "field_groups_workspace"):
+        df = entry.queries()[name](spark, root)
+        kinds = {r.kind: r["count"] for r in df.groupBy("kind").count().collect()}
+        assert kinds["person"] > 100, (name, kinds)
+        assert df.count() == spark.read.parquet(f"{root}/lineitem.parquet").count()
+        print(name, kinds, df.groupBy("record_id").count().agg(F.max("count")).first())
+
+
 def test_documents_above_the_limit_keep_every_field(rows):
     f = rows(FIELD, *register(1, [i / 200 for i in range(152)]), *register(2, [.2, .35, .5]))
     got = G.field_groups(f)
