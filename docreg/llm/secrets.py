@@ -2,9 +2,9 @@
 
 Base spans (assign, access, hex) are regular expressions with a least length. Beside them the
 scan collects weak parts that mean little alone: secret-like words, account identifiers and
-endpoints. Parts are joined within scopes of one text: places are put in buckets as wide as
-the scope, each bucket is summed per role first, and a part joins the sums of its own and the
-neighbouring buckets. A weak secret or identifier is reported only if parts of both other
+endpoints. Parts are joined within scopes of one text: parts are put in the buckets, as wide as
+the scope, that they touch, each bucket is summed per role and kind of evidence first, and a
+part joins the sums of the buckets its scope touches. A weak secret or identifier is reported only if parts of both other
 kinds of evidence, or a base span and one of them, lie within its scope.
 
 Defined cases: a null text counts as empty; positions are code points; spans of equal start
@@ -77,15 +77,24 @@ def _parts(documents: DataFrame) -> DataFrame:
 
 
 def linked_parts(documents: DataFrame, scope: int = 300) -> DataFrame:
-    """(doc_id, mark, role, start, end) of weak secrets and identifiers with complementary parts within ``scope`` characters."""
-    parts = settle(_parts(documents).distinct()).withColumn("bucket", F.floor(F.col("start") / scope))
-    # One row per bucket and role: a part needs the nearest other part only, not every pair.
-    sums = parts.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "bucket", F.col("role").alias("other")).agg(
-        F.min("start").alias("lo"), F.max("start").alias("hi"), F.bool_or("base").alias("firm"))
-    near = sums.select("d", "m", "other", "lo", "hi", "firm", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("b"))
-    weak = parts.where(~F.col("base") & F.col("role").isin("secret", "identifier"))
+    """(doc_id, mark, role, start, end) of weak secrets and identifiers with complementary parts within ``scope`` characters.
+
+    The distance of two parts is the number of characters between them.
+    """
+    parts = settle(_parts(documents).distinct())
+    # One row per bucket, role and kind of evidence: a part needs some other part only, not every pair. A part
+    # counts in each bucket it touches with the piece that lies there.
+    pieces = parts.select("doc_id", "mark", "role", "base", "start", "end", F.explode(F.sequence(
+        F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("bucket"))
+    near = pieces.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("bucket").alias("b"),
+                          F.col("role").alias("other"), F.col("base").alias("firm")).agg(
+        F.min(F.greatest("start", F.col("bucket") * scope)).alias("lo"),
+        F.max(F.least("end", (F.col("bucket") + 1) * scope - 1)).alias("hi"))
+    weak = parts.where(~F.col("base") & F.col("role").isin("secret", "identifier")).select(
+        "doc_id", "mark", "role", "start", "end", (F.col("start") - scope).alias("from"), (F.col("end") + scope).alias("to"))
+    weak = weak.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from") / scope), F.floor(F.col("to") / scope))))
     met = weak.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("bucket") == F.col("b"))
-                    & (F.col("other") != F.col("role")) & (F.col("lo") <= F.col("start") + scope) & (F.col("hi") >= F.col("start") - scope))
+                    & (F.col("other") != F.col("role")) & (F.col("lo") <= F.col("to")) & (F.col("hi") >= F.col("from")))
     linked = met.groupBy("doc_id", "mark", "role", "start", "end").agg(
         F.count_distinct("other").alias("roles"), F.bool_or("firm").alias("firm"))
     return settle(linked.where((F.col("roles") == 2) | F.col("firm")).select("doc_id", "mark", "role", "start", "end"))

@@ -278,6 +278,31 @@ def test_secret_scan(spark):
         assert ("weak_secret" in r.spans) == (r.doc_id == 4), r.spans
 
 
+def test_secret_evidence_lies_inside_the_scope(spark):
+    weak, firm, user = "aB3dE5fG7hI9jK1lM3nO5p", "token=abcdefgh1234", "user=alice123"
+
+    def text(*parts):
+        out = ""
+        for at, part in parts:
+            out = out.ljust(at) + part
+        return out
+
+    texts = [text((0, user), (300, weak), (590, firm)), text((0, user), (300, firm)), text((0, user), (314, firm)),
+             text((0, user), (313, firm)), text((0, "user=" + "z" * 700), (900, firm)), text((0, weak + "x" * 900), (1100, user), (1200, "https://db.example.com"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.role, r.start) for r in secrets.linked_parts(df).collect()}
+    want = set()
+    for r in secrets._parts(df).collect():
+        if not r.base and r.role in ("secret", "identifier"):
+            others = [o for o in secrets._parts(df).where(F.col("doc_id") == r.doc_id).collect()
+                      if o.role != r.role and max(o.start - r.end, r.start - o.end) <= 300]
+            if len({o.role for o in others}) == 2 or any(o.base for o in others):
+                want.add((r.doc_id, r.role, r.start))
+    assert got == want
+    assert (0, "identifier", 0) not in got and (1, "identifier", 0) in got and (2, "identifier", 0) not in got
+    assert (3, "identifier", 0) in got and (4, "identifier", 0) in got and (5, "secret", 0) in got
+
+
 @pytest.mark.parametrize("shards", [1, 16])
 def test_shards_are_even_and_slots_gapless(spark, docs, shards):
     rows = [(i, "x" * (i % 50)) for i in range(3000)] + [(5, "same")] * 800 + [(7, None)]
