@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreg.llm import byte_bpe, decontamination, ngram_join, pii, quality_fm, quality_rules, secrets, sharding, url_filter, wavelet
+from docreg.llm import (
+    byte_bpe, decontamination, ngram_join, periodic, pii, quality_fm, quality_rules, secrets, sharding, url_filter, wavelet,
+)
 from docreg.llm.common import table
 
 
@@ -73,6 +75,10 @@ def op9_wavelet_shards(spark: SparkSession, root: str) -> DataFrame:
     return wavelet.round_trip(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    return periodic.report(table(spark, root, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_factorisation_machine": op2_factorisation_machine,
@@ -84,4 +90,5 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_secret_scan": op10_secret_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
