@@ -22,4 +22,16 @@ SELECT c.page_id AS capture_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NU
 FROM captures c LEFT JOIN hits h USING (page_id)
 """
 
-ORACLE: dict[str, str] = {"op6_temporal_list_join": OP6}
+OP13 = """
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS plain
+    FROM documents),
+g AS (
+    SELECT plain, count(*) AS group_size, min(struct_pack(less := -chars, nameless := doc_id IS NULL, doc_id := doc_id)) AS best
+    FROM d GROUP BY plain)
+SELECT d.doc_id, g.best.doc_id AS keep_id, g.group_size,
+       d.doc_id IS NOT DISTINCT FROM g.best.doc_id AND d.chars = -g.best.less AS kept, sha256(d.plain) AS text_sha256
+FROM d JOIN g USING (plain)
+"""
+
+ORACLE: dict[str, str] = {"op6_temporal_list_join": OP6, "op13_extendible_hash_dedup": OP13}

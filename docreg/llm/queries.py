@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docreg.llm import (
-    byte_bpe, decontamination, ngram_join, periodic, pii, quality_fm, quality_rules, secrets, sharding, url_filter, wavelet,
+    byte_bpe, decontamination, exact_dedup, ngram_join, periodic, pii, quality_fm, quality_rules, secrets, sharding, url_filter, wavelet,
 )
 from docreg.llm.common import table
 
@@ -79,6 +79,10 @@ def op12_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     return periodic.report(table(spark, root, "documents"))
 
 
+def op13_extendible_hash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return exact_dedup.report(table(spark, root, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_factorisation_machine": op2_factorisation_machine,
@@ -91,4 +95,5 @@ QUERIES = {
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_secret_scan": op10_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_extendible_hash_dedup": op13_extendible_hash_dedup,
 }
