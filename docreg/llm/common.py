@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return base if ":/" in base else f"file://{base}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it back.
+
+    For loops of many steps: a checkpoint hands the constraints of its plan on to the next
+    one, which planning then spends more and more time on; a table read back has none.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

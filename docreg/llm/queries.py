@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docreg.llm import (
-    byte_bpe, decontamination, exact_dedup, ngram_join, periodic, pii, quality_fm, quality_rules, secrets, sharding, url_filter, wavelet,
+    byte_bpe, conversation_trie, decontamination, exact_dedup, ngram_join, periodic, pii, quality_fm, quality_rules, secrets, sharding, url_filter, wavelet,
 )
 from docreg.llm.common import table
 
@@ -75,6 +75,10 @@ def op9_wavelet_shards(spark: SparkSession, root: str) -> DataFrame:
     return wavelet.round_trip(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_zfast_trie(spark: SparkSession, root: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, root, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     return periodic.report(table(spark, root, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_secret_scan": op10_secret_scan,
+    "op11_zfast_trie": op11_zfast_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_extendible_hash_dedup": op13_extendible_hash_dedup,
 }
