@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +166,8 @@ class WordEncoder:
 
     def __init__(self, path: str, known: dict[bytes, bytes] | None = None, room: int = 200_000):
         self.tokenizer, self.room = _tokenizer(path), room
-        self.known = known or {}
-        self.further: dict[bytes, bytes] = {}
+        self.known = dict(known or {})
+        self.further: list[bytes] = []
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
@@ -175,22 +175,30 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self.known
-        for text in texts:
-            words = (text or "").encode().split()
-            own = dict.fromkeys(words)
-            for w in own:
-                own[w] = known.get(w)
-            fresh = [w for w, ids in own.items() if ids is None]
-            new = [w for w in fresh if w not in self.further]
-            if len(self.further) + len(new) > self.room:
-                self.further, new = {}, fresh
-            if new:
-                self.further.update(zip(new, self.ids_of(new)))
-            for w in fresh:
-                own[w] = self.further[w]
-            yield b"".join([own[w] for w in words])
+        """Little-endian 32-bit ids of each text; the unknown words of all of them are encoded in one go."""
+        cut = [(text or "").encode().split() for text in texts]
+        words = set().union(*cut)
+        new = list(words.difference(self.known))
+        if len(self.further) + len(new) > self.room:
+            for word in self.further:
+                del self.known[word]
+            self.further, new = [], list(words.difference(self.known))
+        self.known.update(zip(new, self.ids_of(new)))
+        self.further += new
+        ids = self.known.__getitem__
+        for words in cut:
+            yield b"".join(map(ids, words))
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str, shared: Broadcast, key: str) -> WordEncoder:
+    """One encoder per worker process and job (``key``), kept from task to task."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(path, shared.value)
+    return _encoders[key]
 
 
 def frequent_words(documents: DataFrame, tokenizer: str, sample_rows: int, keep: int) -> dict[bytes, bytes]:
@@ -232,12 +240,14 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, max_tokens:
     ordered = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "file string, tokens bigint, documents bigint"
     words = documents.sparkSession.sparkContext.broadcast(frequent_words(ordered, tokenizer, sample_rows, keep))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows that repeat a doc_id are ordered by their texts, so that a retried task writes the same file.
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    job = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(place, recursive=True)
-        encoder, part = WordEncoder(tokenizer, words.value), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer, words, job), TaskContext.get().partitionId()
         end, number = np.array([END], "<u4").tobytes(), 0
         ids: list[bytes] = []
         names: list[int | None] = []

@@ -360,7 +360,6 @@ def test_wavelet_shards_equal_the_tokenizer(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r for r in wavelet.round_trip(df, path).collect()}
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     at = 0
     for doc_id, text in sorted(rows):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
