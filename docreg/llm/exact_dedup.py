@@ -229,7 +229,8 @@ def report(documents: DataFrame, capacity: int = CAPACITY, key: Callable[[bytes]
     rows = settle(rows_of(documents, key))
     folder = f"{shared_folder(documents.sparkSession)}/buckets-{uuid.uuid4().hex}"
     index = insert(None, documents, folder, capacity, key, rows)
-    found = groups(rows, index.links())
+    # Settled, so that the join below is one of two plain exchanges, which Spark splits where a text is frequent.
+    found = settle(groups(rows, index.links()))
     joined = rows.alias("r").join(found.alias("g"), ["key", "digest"])
     same = F.col("r.doc_id").eqNullSafe(F.col("g.keep_id")) & (F.col("r.chars") == F.col("g.chars"))
     return joined.select(F.col("r.doc_id").alias("doc_id"), "keep_id", "group_size", same.alias("kept"),
