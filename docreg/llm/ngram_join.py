@@ -170,13 +170,16 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 def _star_pairs(classes: DataFrame) -> DataFrame:
     """Pairs of every class with the most ordinary class of its bucket: the one with the most common tokens.
 
-    Of many copies of one text the least edited one is nearest to all others. Centres are
-    settled first, so that the join with a large bucket is one that Spark splits.
+    Of many copies of one text the least edited one is nearest to all others. Pairs whose sizes
+    rule a link out are left out before any text moves. Centres are settled first, so that the
+    join with a large bucket is one that Spark splits.
     """
     members = classes.select("id", "n", "often", F.posexplode("minima").alias("turn", "value"))
-    rank = F.struct((F.col("often") / F.col("n")).alias("share"), (-F.col("id")).alias("order"), F.col("id").alias("id"))
-    tops = settle(members.groupBy("turn", "value").agg(F.max(rank)["id"].alias("top"), F.count("*").alias("size")).where("size > 1"))
-    return members.select("id", "turn", "value").join(tops, ["turn", "value"]).where("id != top").select(
+    rank = F.struct((F.col("often") / F.col("n")).alias("share"), (-F.col("id")).alias("order"), F.col("id").alias("id"), "n")
+    tops = settle(members.groupBy("turn", "value").agg(F.max(rank).alias("top"), F.count("*").alias("size")).where("size > 1").select(
+        "turn", "value", F.col("top.id").alias("top"), F.col("top.n").alias("m")))
+    fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    return members.select("id", "n", "turn", "value").join(tops, ["turn", "value"]).where((F.col("id") != F.col("top")) & fits).select(
         F.col("id").alias("a"), F.col("top").alias("b"))
 
 
