@@ -204,15 +204,18 @@ def initials(name: Column) -> Column:
     return F.array_join(F.transform(F.slice(words, 1, 2), lambda w: F.upper(F.substring(w, 1, 1))), "")
 
 
-def column_label(group_size: Column, position: Column, fallback: Column) -> Column:
-    """Header of the ``position``-th (0-based) field of an automatic person row."""
+def column_label(kind: Column, mode: Column, group_size: Column, position: Column, fallback: Column) -> Column:
+    """Header of the ``position``-th (0-based) field of a group.
+
+    Only a person that was found automatically (``mode`` auto) and has a box for every register
+    column gets the fixed names; all other fields keep their own name, or a number.
+    """
     names = F.array(*[F.lit(n) for n in REGISTER_COLUMNS])
     plain = F.coalesce(
         F.nullif(fallback, F.lit("")), F.concat(F.lit("Field "), (position + 1).cast("string"))
     )
-    return F.when(
-        group_size == len(REGISTER_COLUMNS), F.get(names, position.cast("int"))
-    ).otherwise(plain)
+    register = (kind == "person") & (mode == "auto") & (group_size == len(REGISTER_COLUMNS))
+    return F.when(register, F.get(names, position.cast("int"))).otherwise(plain)
 
 
 # ------------------------------------------------------------------ paper

@@ -93,9 +93,9 @@ def unknown_splits(manifest: DataFrame) -> DataFrame:
     return odd.select(F.when(F.col("split") == "", "(blank)").otherwise(F.col("split")).alias("name")).distinct()
 
 
-def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """One-row report: counts, errors, warnings, ok, all unknown splits, and the first 25 missing
-    and orphan paths. The full lists are ``missing_images``, ``orphan_images`` and
+def validate_dataset(manifest: DataFrame, images: DataFrame, samples: int = MAX_REPORTED) -> DataFrame:
+    """One-row report: counts, errors, warnings, ok, all unknown splits, and the first ``samples``
+    missing and orphan paths. The full lists are ``missing_images``, ``orphan_images`` and
     ``unknown_splits``.
     """
     rows = _rows(manifest)
@@ -117,10 +117,10 @@ def validate_dataset(manifest: DataFrame, images: DataFrame) -> DataFrame:
     report = counts.withColumns({
         "missing_image_count": lost.agg(F.count("*")).scalar(),
         "orphan_image_count": orphans.agg(F.count("*")).scalar(),
-        "missing_images": sample_array(lost.where("filename <> ''"), path, [F.col("ord")], MAX_REPORTED),
+        "missing_images": sample_array(lost.where("filename <> ''"), path, [F.col("ord")], samples),
         "unknown_split_count": unknown.agg(F.count("*")).scalar(),
         "unknown_splits": F.coalesce(unknown.agg(F.sort_array(F.collect_set("name"))).scalar(), F.array().cast("array<string>")),
-        "orphan_images": sample_array(orphans, path, [position, F.col("filename")], MAX_REPORTED),
+        "orphan_images": sample_array(orphans, path, [position, F.col("filename")], samples),
     })
     n = F.col
 

@@ -94,14 +94,14 @@ def scored_rows(manifest: DataFrame, images: DataFrame, predictions: DataFrame,
 
 
 def evaluate_predictions(manifest: DataFrame, images: DataFrame, predictions: DataFrame, split: str,
-                         max_rows: int = 100, spread: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(metrics, rows): rates with four decimals, and the first rows by file name."""
+                         max_rows: int | None = None, spread: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics, rows): rates with four decimals, and the rows; the first ``max_rows`` by file name if a report wants so many."""
     rows = scored_rows(manifest, images, predictions, split)
     m = corpus_metrics(rows.withColumnRenamed("prediction", "hypothesis"), spread=spread)
     metrics = m.select(
         F.bround("cer", 4).alias("cer"), F.bround("wer", 4).alias("wer"),
         F.bround("accuracy", 4).alias("exact_match"), "exact", "total")
-    return metrics, top_k(rows, [F.col("filename")], max_rows)
+    return metrics, rows if max_rows is None else top_k(rows, [F.col("filename")], max_rows)
 
 
 _METRICS = {"CER": "cer", "WER": "wer", "Accuracy": "accuracy"}

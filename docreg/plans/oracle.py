@@ -417,6 +417,13 @@ _SQL: dict[str, str] = {
           AND (description ILIKE '%entry #1%' OR coalesce(actor_name, '') ILIKE '%entry #1%')""",
     "audit_page": f"""
         SELECT id, action, strftime(created_at, {_STAMP}) AS created_at FROM audit a ORDER BY a.created_at DESC, id DESC LIMIT 25 OFFSET 50""",
+    "audit_seek": f"""
+        SELECT id, action, strftime(created_at, {_STAMP}) AS created_at FROM audit a
+        WHERE (a.created_at, id) < (SELECT (k.created_at, k.id) FROM audit k WHERE k.id = 500)
+        ORDER BY a.created_at DESC, id DESC LIMIT 25""",
+    "own_recent_activity": f"""
+        SELECT id, action, strftime(created_at, {_STAMP}) AS created_at FROM audit a WHERE user_id = 7
+        ORDER BY a.created_at DESC, id DESC LIMIT 6""",
     "audit_page_info": "SELECT count(*) AS total, count(*) > 75 AS has_more FROM audit",
     "recorded_actions": "SELECT DISTINCT action FROM audit",
     "known_actors": "SELECT id, name FROM users WHERE id IN (SELECT user_id FROM audit WHERE user_id IS NOT NULL)",
@@ -532,9 +539,12 @@ _SQL: dict[str, str] = {
     "request_detail_orphans": """
         SELECT id, record_field_id FROM items WHERE record_field_id NOT IN (SELECT field_id FROM persisted)""",
     "column_labels": """
-        SELECT field_id, CASE WHEN count(*) OVER (PARTITION BY record_id, group_id) IN (3, 11)
+        WITH b AS (SELECT id, name, record_id // 64 AS sheet, row_number() OVER (PARTITION BY record_id // 64 ORDER BY id) - 1 AS place FROM fields),
+        c AS (SELECT *, count(*) OVER (PARTITION BY sheet, place // 11) AS size FROM b)
+        SELECT id AS field_id, CASE WHEN size = 11 AND place // 11 > 0 AND place // 11 % 2 = 0
           THEN ['Entry no.', 'Date registered', 'Child''s name', 'Sex', 'Date of birth', 'Place of birth', 'Father''s name', 'Mother''s name',
-                'Nationality', 'Informant', 'Remarks'][position + 1] ELSE name END AS column_label FROM persisted""",
+                'Nationality', 'Informant', 'Remarks'][place % 11 + 1]
+          ELSE coalesce(nullif(name, ''), 'Field ' || (place % 11 + 1)) END AS column_label FROM c""",
     # ------------------------------------------------------------- workflow
     "open_requests": "SELECT id AS proposal_id, record_id, outcome, change_count FROM opened",
     "open_requests_items": """
@@ -763,7 +773,7 @@ _SQL: dict[str, str] = {
         SELECT metric, round(base, 9) AS base, round(tuned, 9) AS tuned, CASE WHEN base = tuned THEN 'same'
           WHEN (metric = 'Accuracy') = (tuned > base) THEN 'better' ELSE 'worse' END AS verdict FROM m""",
     "evaluate_predictions_rows": f"""
-        SELECT k AS filename, reference, hypothesis AS prediction, reference = hypothesis AS match FROM {_SCORED} ORDER BY 1 LIMIT 100""",
+        SELECT k AS filename, reference, hypothesis AS prediction, reference = hypothesis AS match FROM {_SCORED}""",
     "evaluation_report": f"""
         SELECT count(*) AS sample_count, round(sum(levenshtein(reference, hypothesis))::DOUBLE / sum(length(reference)), 9) AS cer, 'test' AS split FROM {_FIELD_PAIRS}""",
     "prediction_summary": """

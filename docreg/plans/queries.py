@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date, datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docreg.functions import distance as D
@@ -185,6 +185,19 @@ def audit_page(r: Registry) -> DataFrame:
     return page.rows.select("id", "action", stamp("created_at"))
 
 
+@query
+def audit_seek(r: Registry) -> DataFrame:
+    """The page behind the trail row of number 500, newest first."""
+    order = [("created_at", False), ("id", False)]
+    last = r.audit_logs.where("id = 500").select("created_at", "id").first()
+    return ordering.seek(r.audit_logs, order, last.asDict() if last else None).select("id", "action", stamp("created_at"))
+
+
+@query
+def own_recent_activity(r: Registry) -> DataFrame:
+    return ordering.own_recent_activity(r.audit_logs, USER).select("id", "action", stamp("created_at"))
+
+
 @query
 def audit_page_info(r: Registry) -> DataFrame:
     return ordering.paginate(r.audit_logs, ordering.newest_first(), page=3, per_page=25).info
@@ -408,13 +421,14 @@ def request_detail_orphans(r: Registry) -> DataFrame:
 
 @query
 def column_labels(r: Registry) -> DataFrame:
-    members = grouping.field_groups_persisted(r.record_fields)
-    sizes = members.groupBy("record_id", "group_id").agg(F.count("*").alias("size"))
-    names = r.record_fields.select(F.col("id").alias("field_id"), "name")
-    wide = members.join(sizes, ["record_id", "group_id"]).join(names, "field_id")
-    # Rows of three stand in for rows of eleven, so that both branches occur.
-    return wide.select("field_id", V.column_label(
-        F.when(F.col("size") == 3, 11).otherwise(F.col("size")), F.col("position"), F.col("name")).alias("column_label"))
+    """Sheets of 64 record numbers, cut into rows of eleven boxes: a first row of details, then people, every second one by hand."""
+    sheet, place = F.expr("record_id div 64"), F.col("place")
+    boxes = r.record_fields.select("id", "name", sheet.alias("sheet"), (
+        F.row_number().over(Window.partitionBy(sheet).orderBy("id")) - 1).alias("place")).withColumn("number", F.expr("place div 11"))
+    size = F.count("*").over(Window.partitionBy("sheet", "number"))
+    kind = F.when(F.col("number") == 0, "details").otherwise("person")
+    mode = F.when(F.col("number") % 2 == 0, "auto").otherwise("manual")
+    return boxes.select(F.col("id").alias("field_id"), V.column_label(kind, mode, size, place % 11, F.col("name")).alias("column_label"))
 
 
 # ------------------------------------------------------------------- workflow

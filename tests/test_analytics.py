@@ -172,3 +172,19 @@ def test_trail_rows(rows, users):
     assert {(r.id, r.actor, r.key, r.before, r.after, r.changed) for r in got} == {
         (1, "Nina", "a", "1", "1", False), (1, "Nina", "b", "2", None, True), (1, "Nina", "c", None, "3", True),
         (2, "System", "password", None, "[redacted]", True)}
+
+
+def test_seeking_page_by_page_equals_the_order(rows):
+    log = rows("id int, a int, b string", *[(i, None if i % 5 == 0 else i % 3, None if i % 7 == 0 else "xyz"[i % 3]) for i in range(60)])
+    for order in ([("a", False), ("id", False)], [("a", True), ("b", False), ("id", True)]):
+        whole = [r.id for r in ordering.seek(log, order, None, 60).collect()]
+        paged, last = [], None
+        while page := ordering.seek(log, order, last, 17).collect():
+            paged += [r.id for r in page]
+            last = page[-1].asDict()
+        assert paged == whole and sorted(whole) == list(range(60))
+
+
+def test_own_recent_activity(rows):
+    log = rows("id int, user_id int, created_at timestamp", *[(i, i % 2, datetime(2024, 1, 1 + i // 2)) for i in range(20)])
+    assert [r.id for r in ordering.own_recent_activity(log, 1).collect()] == [19, 17, 15, 13, 11, 9]

@@ -127,3 +127,11 @@ def test_word_distance_past_the_surrogates(spark, rows):
     many = [f"w{i}" for i in range(55_400)]
     df = rows("r string, h string", (" ".join(many), " ".join([many[0], many[55_050], "other", many[-1]])))
     assert one(df, w=word_distance(F.col("r"), F.col("h")))[0].w == 55_400 - 3
+
+
+def test_fixed_column_names_need_an_automatic_person_of_eleven(rows):
+    f = rows("id int, kind string, mode string, size int, position int, name string",
+             (1, "person", "auto", 11, 2, "x"), (2, "person", "manual", 11, 2, "x"), (3, "details", "auto", 11, 2, "x"),
+             (4, "person", "auto", 10, 2, ""), (5, None, "auto", 11, 0, None))
+    label = V.column_label(*(F.col(c) for c in ("kind", "mode", "size", "position", "name")))
+    assert [r[0] for r in f.orderBy("id").select(label).collect()] == ["Child's name", "x", "x", "Field 3", "Field 1"]
