@@ -13,10 +13,9 @@ text before anything is grouped, so a text held by a third of all rows reaches i
 per batch. ``insert`` takes further documents into an index that exists; only buckets that
 receive texts are read and written anew.
 
-Defined cases: null counts as empty, and all texts without a visible character are equal; of
-copies of equal length and doc_id one row stays per row, all marked kept (rows that repeat a
-doc_id and a text cannot be told apart); a null doc_id comes after all others; an empty table
-gives an empty index.
+Defined cases: null counts as empty, and all texts without a visible character are equal; rows
+that repeat both doc_id and text cannot be told apart and are judged alike, all kept or all
+dropped; a null doc_id comes after all others; an empty table gives an empty index.
 """
 
 from __future__ import annotations
