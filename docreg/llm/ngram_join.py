@@ -8,9 +8,11 @@ Two texts link when their sets of five-word shingles have a Jaccard similarity o
    compared with the most ordinary one of their bucket, and verified links are closed to groups.
 3. Any link between different groups must share a token of both prefixes (the rarest fifth
    of a set). Prefix tokens, reduced to (token, group), give candidate pairs of groups.
-4. The token-group matrix holds, per candidate group, the union of its members' tokens as a
-   bitmap. A document needs 80 % of its own tokens in the other group's row; only groups
-   that such documents reach are opened, and their documents are compared exactly.
+4. The token-group matrix holds, per candidate group and size, the union of its members'
+   tokens as a bitmap of four to eight bits a token. A bit of a document that the row of the
+   other group lacks is a token of its own; it needs 80 % of its tokens in that row. Only
+   groups that such documents reach are opened, and their documents are compared exactly.
+   Bitmaps are made with the signatures, so no text moves for the bound.
 
 The order of rarity comes from a bounded sample of documents. It steers the amount of work
 only: the prefix argument holds for any order.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docreg.llm.common import BROADCAST_ROWS, bounded_sample, only_ids, settle
@@ -38,7 +40,7 @@ from docreg.session import ship_package
 SHINGLE = 5
 PERCENT = 80
 HASHES = 3
-BITMAP = 32768
+BITS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _TURNS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -104,6 +106,16 @@ def _lists(parts: list[np.ndarray], dtype) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(dtype)))
 
 
+def presence(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap of a set as 64-bit words: bit ``token mod size``, the size a power of two of four to eight bits a token."""
+    if not len(tokens):
+        return np.empty(0, np.int64)
+    size = 1 << max(6, (len(tokens) - 1).bit_length() + BITS)
+    row = np.zeros(size, np.uint8)
+    row[tokens & np.uint64(size - 1)] = 1
+    return np.packbits(row, bitorder="little").view(np.int64)
+
+
 def common_tokens(documents: DataFrame, sample_rows: int, keep: int) -> np.ndarray:
     """Sorted tokens that occur in several of at most about ``sample_rows`` documents; ``keep`` of them at most."""
     sample = bounded_sample(documents.select("doc_id", "text"), "doc_id", sample_rows)
@@ -115,12 +127,13 @@ def common_tokens(documents: DataFrame, sample_rows: int, keep: int) -> np.ndarr
 
 
 def signatures(documents: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, often, fingerprint, minima, prefix) of every row; ``often`` counts common tokens."""
+    """(doc_id, n, often, fingerprint, minima, prefix, bits) of every row; ``often`` counts common tokens."""
     def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sizes, commons, prints, minima, prefixes = [], [], [], [], []
+        sizes, commons, prints, minima, prefixes, bits = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
             tokens = shingle_set(text)
             sizes.append(len(tokens))
+            bits.append(presence(tokens))
             prints.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
             minima.append(_signed(np.array([(tokens * t ^ (tokens * t >> np.uint64(32))).min() for t in _TURNS[:HASHES]], np.uint64))
                           if len(tokens) else np.empty(0, np.int64))
@@ -132,10 +145,10 @@ def signatures(documents: DataFrame, common: np.ndarray) -> DataFrame:
             ordered = np.concatenate([tokens[~often], tokens[often]])
             prefixes.append(_signed(ordered[:len(tokens) - least_overlap(len(tokens)) + 1] if len(tokens) else ordered))
         return {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "often": pa.array(commons, pa.int64()), "fingerprint": pa.array(prints, pa.binary()),
-                "minima": _lists(minima, np.int64), "prefix": _lists(prefixes, np.int64)}
+                "minima": _lists(minima, np.int64), "prefix": _lists(prefixes, np.int64), "bits": _lists(bits, np.int64)}
 
     return _arrow(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), each,
-                  "doc_id bigint, n bigint, often bigint, fingerprint binary, minima array<bigint>, prefix array<bigint>")
+                  "doc_id bigint, n bigint, often bigint, fingerprint binary, minima array<bigint>, prefix array<bigint>, bits array<bigint>")
 
 
 def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -183,7 +196,7 @@ def _star_pairs(classes: DataFrame) -> DataFrame:
         F.col("id").alias("a"), F.col("top").alias("b"))
 
 
-def _candidate_groups(classes: DataFrame, moved: DataFrame) -> DataFrame:
+def _candidate_groups(classes: DataFrame) -> DataFrame:
     """Pairs of groups (g, h), g < h, that share a prefix token between sets of like size.
 
     The smaller set of a link shares 8/9 of its tokens, so the token may be sought in the
@@ -196,83 +209,79 @@ def _candidate_groups(classes: DataFrame, moved: DataFrame) -> DataFrame:
     met = settle(tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("rows"),
                                              F.bool_or("core").alias("core")).where("lo < hi and core"))
     two = met.where("rows = 2").select(F.col("lo").alias("g"), F.col("hi").alias("h"))
-    # Sizes of linked sets differ by a quarter at most: neighbouring bins on a log scale.
-    shelf = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9)
     often = met.where("rows > 2").select("token")
-    more = settle(only_ids(tokens, "token", often, often.count()).groupBy("token", "group", shelf.alias("bin")).agg(
+    more = settle(only_ids(tokens, "token", often, often.count()).groupBy("token", "group", _shelf().alias("bin")).agg(
         F.min(F.when(F.col("core"), F.col("n"))).alias("least"), F.max("n").alias("most")))
     left = more.where("least is not null").select(
         "token", F.col("group").alias("x"), "least", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
     near = left.join(more.select("token", "bin", "group", F.col("most").alias("reach")), ["token", "bin"]).where(
         "x != group and least <= reach").select(F.least("x", "group").alias("g"), F.greatest("x", "group").alias("h"))
-    return _sharing_enough(settle(two.union(near).distinct()), classes, moved)
+    return settle(two.union(near).distinct())
+
 
+def _shelf() -> Column:
+    """Size on a log scale; sizes of linked sets differ by a quarter at most, so they lie on the same or neighbouring shelves."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 + (100 - PERCENT) / PERCENT)) + 1e-9).cast("int")
 
-def _sharing_enough(pairs: DataFrame, classes: DataFrame, moved: DataFrame) -> DataFrame:
-    """Drop pairs of one-class groups whose prefixes share too little.
 
-    Shared tokens outside one of the prefixes are fewer than 80 % of the larger set; a link
-    needs 4/9 of both sizes, so the prefixes must share the rest.
+def _matrix(members: DataFrame, moved: DataFrame) -> DataFrame:
+    """(group, shelf, row, least): the union of the bitmaps of a group's members of like size, and the least size.
+
+    A group of one class is its own row. Of others, words of the bitmaps are united one by
+    one, partly before they move, so that a large group is no large task.
     """
-    ids = settle(pairs.select(F.col("g").alias("id")).union(pairs.select("h")).distinct())
-    sets = only_ids(classes.select("id", "n", "prefix"), "id", ids, ids.count())
-    wide = _small(moved.select(F.col("component").alias("id")).distinct().withColumn("wide", F.lit(True)))
-    sets = sets.join(wide, "id", "left").select("id", F.when(F.col("wide").isNull(), F.struct("n", "prefix")).alias("s"))
-    rows = pairs.join(sets.select(F.col("id").alias("g"), F.col("s").alias("a")), "g").join(
-        sets.select(F.col("id").alias("h"), F.col("s").alias("b")), "h")
-    needed = (F.lit(PERCENT) * (F.col("a.n") + F.col("b.n")) / (100 + PERCENT)
-              - F.lit(PERCENT) * F.greatest("a.n", "b.n") / 100)
-    enough = F.size(F.array_intersect("a.prefix", "b.prefix")) >= needed - 1e-6
-    return settle(rows.where(F.col("a").isNull() | F.col("b").isNull() | enough).select("g", "h").distinct())
-
-
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    return (tokens % np.uint64(BITMAP)).astype(np.int64)
-
-
-def _reaching(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(g, h, side, id, n): documents of a candidate pair with enough tokens in the other group's row."""
-    wanted = pairs.select(F.col("g").alias("group")).union(pairs.select("h")).distinct()
-    members = settle(classes.join(wanted, "group").select("id", "n", "group"))
-    texts = _texts(documents, members.select("id"))
-    bits = _arrow(members.join(texts, "id").select("group", "id", "n", "text"), lambda b: {
-        "group": b.column(0), "id": b.column(1), "n": b.column(2),
-        "bits": _lists([_bitmap(shingle_set(t)) for t in b.column(3).to_pylist()], np.int32)},
-        "group bigint, id bigint, n bigint, bits array<int>")
-    bits = settle(bits)
-    matrix = settle(bits.select("group", "id", "n", F.explode("bits").alias("bit")).groupBy("group").agg(
-        F.bitmap_construct_agg(F.col("bit").cast("long")).alias("row"), F.min("n").alias("least")))
+    wide = settle(moved.select(F.col("component").alias("group")).distinct())
+    count = wide.count()
+    single = members.join(F.broadcast(wide) if count <= BROADCAST_ROWS else wide, "group", "left_anti")
+    words = only_ids(members, "group", wide, count).select(
+        "group", "shelf", "n", F.size("bits").alias("width"), F.posexplode("bits").alias("at", "word"))
+    united = words.groupBy("group", "shelf", "width", "at").agg(F.bit_or("word").alias("word"), F.min("n").alias("least"))
+    rows = united.groupBy("group", "shelf", "width").agg(
+        F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"), F.min("least").alias("least"))
+    return single.select("group", "shelf", F.col("bits").alias("row"), F.col("n").alias("least")).union(
+        rows.select("group", "shelf", F.col("words.word").alias("row"), "least"))
+
+
+def _lacking(bits: Column, row: Column) -> Column:
+    """Bits set in ``bits`` alone. The wider of two bitmaps (twice as wide at most) is folded to the width of the other."""
+    def folded(wide: Column, other: Column) -> Column:
+        width = F.size(other)
+        return F.when(F.size(wide) > width, F.zip_with(
+            F.slice(wide, F.lit(1), width), F.slice(wide, width + 1, width), lambda x, y: x.bitwiseOR(y))).otherwise(wide)
+
+    alone = F.zip_with(folded(bits, row), folded(row, bits), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(alone, F.lit(0), lambda total, count: total + count)
+
+
+def _reaching(classes: DataFrame, moved: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g, h, side, id, n): documents of a candidate pair with enough tokens in the other group's rows."""
+    wanted = settle(pairs.select(F.col("g").alias("group")).union(pairs.select("h")).distinct())
+    members = settle(only_ids(classes.select("group", "id", "n", "bits", _shelf().alias("shelf")), "group", wanted, wanted.count()))
+    matrix = settle(_matrix(members, moved))
     sizes = members.groupBy("group").count()
     sized = pairs.join(sizes.select(F.col("group").alias("g"), F.col("count").alias("gs")), "g").join(
         sizes.select(F.col("group").alias("h"), F.col("count").alias("hs")), "h")
     first = F.when(F.col("gs") <= F.col("hs"), 0).otherwise(1)
     sides = settle(sized.select("g", "h", first.alias("side")))
 
-    def asked(sides: DataFrame) -> DataFrame:
-        """Documents of the given side of each pair that share enough tokens with the other side's row."""
+    def asked(sides: DataFrame, members: DataFrame, matrix: DataFrame) -> DataFrame:
+        """Documents of the given side of each pair that share enough tokens with a row of the other side."""
         own = F.when(F.col("side") == 0, F.col("g")).otherwise(F.col("h"))
         other = F.when(F.col("side") == 0, F.col("h")).otherwise(F.col("g"))
-        rows = sides.select("g", "h", "side", own.alias("own"), other.alias("other")).join(
-            matrix.withColumnRenamed("group", "other"), "other").join(bits.withColumnRenamed("group", "own"), "own")
-        return settle(_arrow(rows.select("g", "h", "side", "id", "n", "bits", "row", "least"), each,
-                             "g bigint, h bigint, side int, id bigint, n bigint"))
-
-    def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        n, least = batch.column(4).to_numpy(), batch.column(7).to_numpy()
-        keep = []
-        for i in range(batch.num_rows):
-            row = np.unpackbits(np.frombuffer(batch.column(6)[i].as_py(), np.uint8), bitorder="little")
-            shared = int(row[batch.column(5)[i].values.to_numpy()].sum())
-            # 80 % of the own tokens, and 4/9 of both sizes, the other at its least.
-            if shared >= least_overlap(int(n[i])) and (100 + PERCENT) * shared >= PERCENT * int(n[i] + least[i]):
-                keep.append(i)
-        picked = batch.take(pa.array(keep, pa.int64()))
-        return {name: picked.column(i) for i, name in enumerate(("g", "h", "side", "id", "n"))}
+        met = sides.select("g", "h", "side", own.alias("own"), other.alias("other")).join(
+            matrix.select(F.col("group").alias("other"), F.col("shelf").alias("there"), "row", "least"), "other").join(
+            members.withColumnRenamed("group", "own"), "own").where(F.abs(F.col("shelf") - F.col("there")) <= 1)
+        shared = F.col("n") - _lacking(F.col("bits"), F.col("row"))
+        # 80 % of the own tokens, and 4/9 of both sizes, the other at its least.
+        needed = F.greatest(F.lit(PERCENT * (100 + PERCENT)) * F.col("n"), F.lit(100 * PERCENT) * (F.col("n") + F.col("least")))
+        return settle(met.where(F.lit(100 * (100 + PERCENT)) * shared >= needed).select("g", "h", "side", "id", "n").distinct())
 
     # The smaller group asks first; the larger one only where that left a document.
-    small = asked(sides)
+    small = asked(sides, members, matrix)
     alive = settle(small.select("g", "h", (1 - F.col("side")).cast("int").alias("side")).distinct())
-    return settle(small.union(asked(alive)))
+    left = settle(alive.select(F.col("g").alias("group")).union(alive.select("h")).distinct())
+    count = left.count()
+    return settle(small.union(asked(alive, only_ids(members, "group", left, count), only_ids(matrix, "group", left, count))))
 
 
 def _opened(documents: DataFrame, reaching: DataFrame) -> DataFrame:
@@ -310,15 +319,15 @@ def near_duplicates(documents: DataFrame, sample_rows: int = 10_000, common_rows
     classes = settle(named.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
     # Copies of a class are few or many; the heavy prefix column moves only in the second case.
     copies = settle(named.select("doc_id", "fingerprint").join(classes, "fingerprint").where("doc_id != id").select("doc_id", "fingerprint"))
-    full = named.join(_small(copies), ["doc_id", "fingerprint"], "left_anti").select(F.col("doc_id").alias("id"), "n", "often", "minima", "prefix")
+    full = named.join(_small(copies), ["doc_id", "fingerprint"], "left_anti").select(F.col("doc_id").alias("id"), "n", "often", "minima", "prefix", "bits")
     stars = verified(documents, _star_pairs(full))
     groups = settle(components(stars).where("node != component"))
     grouped = full.join(_small(groups.withColumnRenamed("node", "id")), "id", "left").select(
-        "id", "n", "prefix", F.coalesce("component", "id").alias("group"))
-    pairs = _candidate_groups(grouped, groups)
+        "id", "n", "prefix", "bits", F.coalesce("component", "id").alias("group"))
+    pairs = _candidate_groups(grouped)
     links = stars
     if not pairs.isEmpty():
-        links = links.union(_opened(documents, _reaching(documents, grouped.select("id", "n", "group"), pairs)))
+        links = links.union(_opened(documents, _reaching(grouped, groups, pairs)))
     # Two texts under one id are one node: its classes link through it.
     same = named.join(classes.withColumnRenamed("id", "class"), "fingerprint").where("doc_id != class").select(
         F.col("doc_id").alias("id"), "class").distinct()
