@@ -14,8 +14,9 @@ Two texts link when their sets of five-word shingles have a Jaccard similarity o
    groups that such documents reach are opened, and their documents are compared exactly.
    Bitmaps are made with the signatures, so no text moves for the bound.
 
-The order of rarity comes from a bounded sample of documents. It steers the amount of work
-only: the prefix argument holds for any order.
+The order of rarity comes from counts in every fifth document, at every size of the table;
+at most ``common_rows`` counts are broadcast. It steers the amount of work only: the prefix
+argument holds for any order that all documents share.
 
 Defined cases: a null text or one without words has an empty set, links with nothing and is
 its own component; fewer than five words make one shingle; rows that repeat a doc_id are one
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docreg.llm.common import BROADCAST_ROWS, bounded_sample, only_ids, settle
+from docreg.llm.common import BROADCAST_ROWS, only_ids, settle
 from docreg.llm.components import components
 from docreg.session import ship_package
 
@@ -116,18 +117,23 @@ def presence(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(row, bitorder="little").view(np.int64)
 
 
-def common_tokens(documents: DataFrame, sample_rows: int, keep: int) -> np.ndarray:
-    """Sorted tokens that occur in several of at most about ``sample_rows`` documents; ``keep`` of them at most."""
-    sample = bounded_sample(documents.select("doc_id", "text"), "doc_id", sample_rows)
+def common_tokens(documents: DataFrame, share: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, counts), sorted by token: those in several of every ``share``-th document, the ``keep`` most frequent at most."""
+    sample = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(share)) == 0)
     tokens = _arrow(sample.select("text"), lambda b: {
         "tokens": _lists([_signed(shingle_set(t)) for t in b.column(0).to_pylist()], np.int64)}, "tokens array<bigint>")
     counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count >= 3")
-    rows = counts.orderBy(F.desc("count"), "token").limit(keep).select("token").toArrow().column(0).to_numpy()
-    return np.sort(rows.astype(np.int64).view(np.uint64))
+    rows = counts.orderBy(F.desc("count"), "token").limit(keep).toArrow()
+    tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rows.column("count").to_numpy().astype(np.int32)[order]
 
 
-def signatures(documents: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, often, fingerprint, minima, prefix, bits) of every row; ``often`` counts common tokens."""
+def signatures(documents: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(doc_id, n, often, fingerprint, minima, prefix, bits) of every row; ``often`` counts common tokens.
+
+    The prefix takes tokens that are not common first, then common ones from the rarest on.
+    """
     def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         sizes, commons, prints, minima, prefixes, bits = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -137,12 +143,12 @@ def signatures(documents: DataFrame, common: np.ndarray) -> DataFrame:
             prints.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
             minima.append(_signed(np.array([(tokens * t ^ (tokens * t >> np.uint64(32))).min() for t in _TURNS[:HASHES]], np.uint64))
                           if len(tokens) else np.empty(0, np.int64))
-            often = np.zeros(len(tokens), bool)
+            seen = np.zeros(len(tokens), np.int32)
             if len(common) and len(tokens):
                 at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                often = common[at] == tokens
-            commons.append(int(often.sum()))
-            ordered = np.concatenate([tokens[~often], tokens[often]])
+                seen = np.where(common[at] == tokens, counts[at], 0)
+            commons.append(int(np.count_nonzero(seen)))
+            ordered = tokens[np.argsort(seen, kind="stable")]
             prefixes.append(_signed(ordered[:len(tokens) - least_overlap(len(tokens)) + 1] if len(tokens) else ordered))
         return {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "often": pa.array(commons, pa.int64()), "fingerprint": pa.array(prints, pa.binary()),
                 "minima": _lists(minima, np.int64), "prefix": _lists(prefixes, np.int64), "bits": _lists(bits, np.int64)}
@@ -311,10 +317,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def near_duplicates(documents: DataFrame, sample_rows: int = 10_000, common_rows: int = 200_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, sample_share: int = 5, common_rows: int = 400_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``documents`` (doc_id, text)."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(signatures(documents, common_tokens(documents, sample_rows, common_rows)))
+    signed = settle(signatures(documents, *common_tokens(documents, sample_share, common_rows)))
     named = signed.where("doc_id is not null and n > 0")
     classes = settle(named.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
     # Copies of a class are few or many; the heavy prefix column moves only in the second case.
