@@ -78,6 +78,21 @@ def test_join_on_families_of_edited_copies(spark):
     assert got == joined(rows)
 
 
+def test_presence_bounds_the_shared_tokens(spark):
+    """Bits that one bitmap lacks never outnumber the tokens its set lacks, at equal and at neighbouring widths."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    rows = []
+    for size, other in ((40, 45), (60, 70), (128, 129), (250, 300), (7, 8)):
+        a, b = (np.unique(rng.choice(pool, n, replace=False)) for n in (size, other))
+        bits = [ngram_join.presence(x).tolist() for x in (a, b)]
+        rows += [(len(np.setdiff1d(a, b)), *bits), (len(np.setdiff1d(b, a)), *bits[::-1])]
+    df = spark.createDataFrame(rows, "alone long, bits array<bigint>, row array<bigint>")
+    found = df.select("alone", ngram_join._lacking(F.col("bits"), F.col("row")).alias("lacking")).collect()
+    assert all(0 <= r.lacking <= r.alone for r in found) and any(r.lacking > 0 for r in found)
+    assert len(ngram_join.presence(np.empty(0, np.uint64))) == 0
+
+
 def test_representatives_keep_columns_and_one_of_each(spark, docs):
     kept = ngram_join.keep_representatives(docs, ngram_join.near_duplicates(docs))
     assert kept.columns == docs.columns
