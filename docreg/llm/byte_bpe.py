@@ -1,9 +1,10 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over byte arrays of words.
 
-A text is cut by the tokenizer's pattern. Each word becomes the array of its bytes' ids, and
-a fold merges the adjacent pair of lowest rank (leftmost first) until no pair has a rank. The
-rank map is a literal: a table of (pair of ids, rank) packed in longs, addressed by a
-collision-free hash, since Spark's own map type is searched from end to end.
+A text is cut by the tokenizer's pattern. Each word becomes the array of its bytes, each
+packed with its id and the rank of the pair it begins, and a fold merges the adjacent pair
+of lowest rank (leftmost first) until no pair has a rank. The rank map is a literal: a table
+of (pair of ids, rank) packed in longs, addressed by a collision-free hash, since Spark's own
+map type is searched from end to end.
 
 The fold costs far more than a lookup, so each text folds only distinct words: the frequent
 words of a bounded sample are folded once and kept in a memory of bounded size, a task cuts
@@ -34,9 +35,13 @@ from pyspark.sql import functions as F
 from docreg.llm.common import bounded_sample, let
 from docreg.session import ship_package
 
-SLOTS = 1 << 18
-SHIFTS = 1 << 16
+_HOMES = 49_999
+_AWAYS = 200_003
+_BITS = 17
 _ID = 1 << 16
+_MASK = (1 << _BITS) - 1
+_RANK = 46
+_EDGE = (_ID << _RANK) | (1 << 45) | _MASK
 LONGEST_KNOWN = 64
 ROWS = 500
 
@@ -55,34 +60,31 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def _home(a, b):
-    """First hash of a pair, for numbers as for columns: which shift applies."""
-    return (a * 40503 + b * 30011) % SHIFTS
-
-
-def _away(a, b):
-    """Second hash of a pair, before the shift."""
-    return a * 29 + b * 7919
-
-
 def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """(shifts, slots): every pair of ids that merges has a slot of its own at (away + shift of home) mod SLOTS."""
-    groups: dict[int, list[tuple[int, int, int]]] = {}
+    """(shifts, slots) with every pair of ids that merges, as ``key * 2^17 + rank``, in slot ``key mod _AWAYS + shifts[key mod _HOMES]``.
+
+    The key of a pair is ``a * 2^17 + b``; no two pairs have one slot.
+    """
+    groups: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
             if a is not None and b is not None:
-                groups.setdefault(_home(a, b), []).append((a, b, rank))
-    shifts, slots = [0] * SHIFTS, [-1] * SLOTS
+                key = (a << _BITS) + b
+                groups.setdefault(key % _HOMES, []).append((key, rank))
+    shifts, slots = [0] * _HOMES, [-1] * (2 * _AWAYS)
     for home, pairs in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
-        away = [_away(a, b) for a, b, _ in pairs]
-        if len({x % SLOTS for x in away}) < len(away):
+        away = [key % _AWAYS for key, _ in pairs]
+        if len(set(away)) < len(away):
             raise ValueError("two pairs share both hashes")
-        shift = next(k for k in range(SLOTS) if all(slots[(x + k * 257) % SLOTS] < 0 for x in away)) * 257 % SLOTS
-        shifts[home] = shift
-        for x, (a, b, rank) in zip(away, pairs):
-            slots[(x + shift) % SLOTS] = (a * _ID + b) * _ID + rank
-    return shifts, slots
+        shifts[home] = shift = next(k for k in range(_AWAYS) if all(slots[x + k] < 0 for x in away))
+        for x, (key, rank) in zip(away, pairs):
+            slots[x + shift] = (key << _BITS) + rank
+    return shifts, slots[:_AWAYS + max(shifts)]
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -113,47 +115,66 @@ class ByteBpe:
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        self._bytes = np.array([ranks[bytes([value])] for value in range(256)], "<i4")
+        self._bytes = np.array([ranks[bytes([value])] for value in range(256)], np.int64)
+        self._pairs = np.array([ranks.get(bytes([a, b]), _ID) for a in range(256) for b in range(256)], np.int64)
         self._shifts, self._slots = pair_table(ranks)
         self._shared: Broadcast | None = None
 
     def fold(self, words: Column) -> Column:
-        """Ids (array<int>) of each of several words, given as arrays of the ids of their bytes."""
+        """Cells (array<bigint>) of each of several words, given as arrays of the cells of their bytes.
+
+        A cell holds the rank of the pair it begins (2^16 if that does not merge), its place in
+        the array and its id, from the highest bits down; so the least cell is the leftmost
+        pair of lowest rank. An edge without rank stands at both ends.
+        """
         literals = F.struct(_literal(self._shifts, "array<int>").alias("shifts"), _literal(self._slots, "array<bigint>").alias("slots"))
         return let(literals, lambda lits: F.transform(words, lambda word: self._fold(word, lits)))
 
     def _fold(self, word: Column, lits: Column) -> Column:
-        none = F.expr("cast(array() as array<int>)")
-
-        def rank(a: Column, b: Column) -> Column:
-            """Rank of the pair, null if it does not merge or there is no second part."""
-            a, b = a.cast("long"), b.cast("long")
-            slot = F.get(lits["slots"], ((_away(a, b) + F.get(lits["shifts"], _home(a, b).cast("int"))) % SLOTS).cast("int"))
-            return F.when(F.shiftright(slot, 16) == a * _ID + b, slot.bitwiseAND(F.lit(_ID - 1)).cast("int"))
+        none, ids, rest = _long(_ID << _RANK), _long(_MASK), _long((1 << _RANK) - 1)
+        one, most, width = F.lit(1), _long(2**63 - 1), _long(1 << _BITS)
 
-        def step(acc: Column, _: Column) -> Column:
-            parts, ranks = acc["parts"], acc["ranks"]
+        def rank(key: Column) -> Column:
+            """Rank of the pair in its place of a cell. Another pair's slot differs by more than any rank, or is below."""
+            slot = F.get(lits["slots"], (key % _long(_AWAYS) + F.get(lits["shifts"], (key % _long(_HOMES)).cast("int"))).cast("int"))
+            return F.shiftleft(F.least((slot - F.shiftleft(key, _BITS)).bitwiseAND(most), _long(_ID)), _RANK)
 
+        def step(cells: Column, _: Column) -> Column:
             def merge(found: Column) -> Column:
-                best, at, two = found["best"], found["at"], F.lit(2)
-                joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(best), F.slice(parts, at + two, F.size(parts)))
-                left = F.when(at > 1, F.array(rank(F.get(parts, at - two), best))).otherwise(none)
-                right = F.when(at < F.size(ranks), F.array(rank(best, F.get(parts, at + 1)))).otherwise(none)
-                near = F.concat(F.slice(ranks, F.lit(1), F.greatest(at - two, F.lit(0))), left, right,
-                                F.slice(ranks, at + two, F.size(ranks)))
-                return F.struct(joined.alias("parts"), near.alias("ranks"))
+                best, at, new = found["best"], found["at"], found["new"]
+                before = F.get(cells, at - one)
+                left = let(F.shiftleft(before.bitwiseAND(ids), _BITS) + new, rank) + before.bitwiseAND(rest)
+                right = let(F.shiftleft(new, _BITS) + F.get(cells, at + F.lit(2)).bitwiseAND(ids), rank)
+                merged = right + F.shiftleft(at.cast("bigint"), _BITS) + new
+                tail = F.transform(F.slice(cells, at + F.lit(3), F.size(cells)), lambda cell: cell - width)
+                return F.concat(F.slice(cells, one, at - one), F.array(left, merged), tail)
 
-            return let(F.array_min(ranks), lambda best: F.when(best.isNull(), acc).otherwise(let(
-                F.struct(best.alias("best"), F.array_position(ranks, best).cast("int").alias("at")), merge)))
+            return let(F.array_min(cells), lambda best: F.when(best >= none, cells).otherwise(let(F.struct(
+                best.alias("best"), F.shiftright(best.bitwiseAND(rest), _BITS).cast("int").alias("at"),
+                F.shiftright(best, _RANK).alias("new")), merge)))
 
-        ranks = F.slice(F.transform(word, lambda x, i: rank(x, F.get(word, i + 1))), F.lit(1), F.size(word) - 1)
-        first = F.struct(word.alias("parts"), ranks.alias("ranks"))
-        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), first, step, lambda acc: acc["parts"])
+        return F.aggregate(F.slice(word, one, F.greatest(F.size(word) - F.lit(3), F.lit(0))), word, step)
 
     def _parts_maker(self) -> Callable[[list[str]], pa.Array]:
-        """A function from words to their arrays of byte ids, free of this object."""
-        table = self._bytes
-        return lambda words: _lists([table[np.frombuffer(w.encode(), np.uint8)].tobytes() for w in words])
+        """A function from words to the cells of their bytes, free of this object."""
+        ids, pairs = self._bytes, self._pairs
+
+        def cells(words: list[str]) -> pa.Array:
+            data = [w.encode() for w in words]
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            ends = np.cumsum(sizes)
+            values = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+            ranks = np.full(len(values), _ID, np.int64)
+            ranks[:-1] = pairs[values[:-1] * 256 + values[1:]]
+            ranks[ends - 1] = _ID
+            word = np.repeat(np.arange(len(data)), sizes)
+            at = np.arange(len(values))
+            out = np.full(len(values) + 2 * len(data), _EDGE, np.int64)
+            out[at + 2 * word + 1] = (ranks << _RANK) + ((at - (ends - sizes)[word] + 1) << _BITS) + ids[values]
+            offsets = np.concatenate([[0], ends + 2 * np.arange(1, len(data) + 1)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
+
+        return cells
 
     def with_words(self, texts: DataFrame, sample_rows: int, keep: int) -> ByteBpe:
         """Remember the ids of the ``keep`` most frequent words, of 64 characters at most, of a sample of about ``sample_rows`` texts."""
@@ -173,11 +194,11 @@ class ByteBpe:
         sample = bounded_sample(texts.select("doc_id", "text"), "doc_id", sample_rows).select(F.col("text").cast("string"))
         top = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
         top = top.orderBy(F.desc("n"), "word").limit(keep).select("word").repartition("word")
-        parts = _arrow(top, lambda b: [b.column(0), parts_of(b.column(0).to_pylist())], "word string, parts array<int>")
-        rows = parts.select("word", self.fold(F.array("parts"))[0].alias("ids")).toArrow()
-        ids = rows.column("ids").combine_chunks()
-        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        self.words = {w: flat[a:b].astype("<i4").tobytes() for w, a, b in zip(rows.column("word").to_pylist(), ends[:-1], ends[1:])}
+        parts = _arrow(top, lambda b: [b.column(0), parts_of(b.column(0).to_pylist())], "word string, parts array<bigint>")
+        rows = parts.select("word", self.fold(F.array("parts"))[0].alias("cells")).toArrow()
+        cells = rows.column("cells").combine_chunks()
+        flat, ends = (cells.values.to_numpy() & _MASK).astype("<i4"), cells.offsets.to_numpy()
+        self.words = {w: flat[a + 1:b - 1].tobytes() for w, a, b in zip(rows.column("word").to_pylist(), ends[:-1], ends[1:])}
         self._shared = None
         return self
 
@@ -203,7 +224,7 @@ class ByteBpe:
 
         kind = documents.schema["doc_id"].dataType.simpleString()
         return _arrow(documents.select("doc_id", F.col("text").cast("string")), each,
-                      f"doc_id {kind}, ids array<int>, fresh array<array<int>>")
+                      f"doc_id {kind}, ids array<int>, fresh array<array<bigint>>")
 
     def encoded(self, documents: DataFrame, each: Callable[[np.ndarray], tuple], columns: str) -> DataFrame:
         """(doc_id, columns) with ``each(ids)`` giving the columns of one text from all its ids."""
@@ -212,25 +233,32 @@ class ByteBpe:
         folded = cut.select("doc_id", "ids", F.when(F.size("fresh") > 0, self.fold(F.col("fresh"))).alias("folded"))
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            rows = []
-            for ids, new in zip(batch.column(1), batch.column(2)):
-                flat = ids.values.to_numpy()
-                if new.is_valid:
-                    flat = _filled(flat, [np.asarray(w.values, np.int32) for w in new])
-                rows.append(each(flat))
+            rows = [each(ids) for ids in _filled(batch.column(1), batch.column(2))]
             return [batch.column(0), *(pa.array(list(c)) for c in zip(*rows))]
 
         return _arrow(folded, run, f"doc_id {kind}, {columns}")
 
 
-def _filled(ids: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """``ids`` with each -k replaced by the ids of the k-th word."""
-    gaps = np.flatnonzero(ids < 0)
-    parts, at = [], 0
-    for gap in gaps.tolist():
-        parts += (ids[at:gap], words[-int(ids[gap]) - 1])
-        at = gap + 1
-    return np.concatenate([*parts, ids[at:]])
+def _filled(ids: pa.ListArray, folded: pa.ListArray) -> list[np.ndarray]:
+    """``ids`` of each text with -k replaced by the ids of its k-th folded word, all texts at once."""
+    flat, counts = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
+    ends = np.cumsum(counts)
+    words = folded.flatten()
+    cells = (words.flatten().to_numpy() & _MASK).astype(np.int32)
+    sizes = np.diff(words.offsets.to_numpy())
+    begins = np.cumsum(sizes) - sizes + 1
+    held = folded.value_lengths().fill_null(0).to_numpy()
+    gaps = np.flatnonzero(flat < 0)
+    text = np.searchsorted(ends, gaps, side="right")
+    word = (np.cumsum(held) - held)[text] - flat[gaps] - 1
+    wide = sizes[word] - 2
+    lengths = np.ones(len(flat), np.int64)
+    lengths[gaps] = wide
+    out = np.repeat(flat, lengths)
+    at = np.cumsum(wide) - wide
+    out[out < 0] = cells[np.arange(wide.sum()) + np.repeat(begins[word] - at, wide)]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])]
+    return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def encode_documents(documents: DataFrame, bpe: ByteBpe) -> DataFrame:
