@@ -21,14 +21,14 @@ from docreg.llm.common import let, settle, spans_of, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
-# The base patterns. Possessive repeats and the look-behind only save time.
+# The base patterns. Possessive repeats and the look-behinds only save time.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-IDENTIFIER = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 CONTEXT = 60
 
 

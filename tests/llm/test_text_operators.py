@@ -225,6 +225,13 @@ PII_TEXTS = ["mail a.b@c.de, x@y.z@w.v_q@r.s 😀 10.0.0.1 999.1.1.1 1.2.3.4.5",
              "+12 3", None, "", "a@b", "0001.2.3.4 255.255.255.255", "4111-1111-1111-1111-1 " + "7" * 40, "no digits at all", "a" * 30_000 + "@b.c"]
 
 
+def test_personal_data_reads_very_long_words(spark):
+    n = 1_000_000
+    rows = [(1, "9" * n + ".1.1.1 a"), (2, "x" * n + " 10.0.0.7"), (3, "1.2.3.4.5.6.7.8" + "x" * n)]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: (r.n_email, r.n_ip, r.n_card, r.n_phone) for k, r in got.items()} == {1: (0, 0, 0, 0), 2: (0, 1, 0, 0), 3: (0, 2, 0, 0)}
+
+
 def test_personal_data_base_spans(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PII_TEXTS)], "doc_id bigint, text string, mark int")
     for r in pii.report(df).collect():
