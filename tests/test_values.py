@@ -54,6 +54,12 @@ def test_confidence_and_percentage(rows):
     assert [r.c for r in one(df, c=V.percentage(F.col("c")))] == [87.7, 0.0, 100.0]
 
 
+def test_percentage_rounds_after_scaling(rows):
+    """1 - 0.3705 is 62.949999999999996 %, which SQL rounds to 63.0."""
+    df = rows("r double", (0.3705,), (0.3765,), (0.2665,))
+    assert [r.p for r in one(df, p=V.percentage(1 - F.col("r")))] == [63.0, 62.4, 73.4]
+
+
 def test_redaction_keeps_other_keys_and_adds_none(rows):
     df = rows("m map<string,string>", ({"password": "x", "name": "Ana"},), ({"temporary_password": None},), (None,))
     assert [r.m for r in one(df, m=V.redact(F.col("m")))] == [
