@@ -31,7 +31,7 @@ def records_by_type(records: DataFrame, types: DataFrame, scope: Scope) -> DataF
         named.join(counts, "document_type_id", "left")
         .select(
             "document_type_id", "key", "name", "is_system", total.cast("long").alias("total"),
-            F.when(everything > 0, F.round(total / everything * 100, 1)).otherwise(F.lit(0.0)).alias("share"),
+            F.when(everything > 0, V.one_decimal(total / everything * 100)).otherwise(F.lit(0.0)).alias("share"),
         )
         .orderBy(F.col("total").desc(), F.col("is_system").desc(), "document_type_id")
         .drop("is_system")
@@ -86,7 +86,7 @@ def growth_rate(totals: DataFrame) -> DataFrame:
     latest, previous = F.get(F.col("_b"), F.lit(0))["total"], F.get(F.col("_b"), F.lit(1))["total"]
     return last.select(
         latest.alias("latest"), F.coalesce(previous, F.lit(0)).alias("previous"),
-        F.when(previous > 0, F.round((latest - previous) / previous * 100, 1)).alias("growth_rate"),
+        F.when(previous > 0, V.one_decimal((latest - previous) / previous * 100)).alias("growth_rate"),
     )
 
 
@@ -116,12 +116,12 @@ def ocr_quality(fields: DataFrame, records: DataFrame, scope: Scope, threshold:
     return joined.groupBy(*by).agg(*sums).select(
         *by,
         n["_scored"].cast("long").alias("confidence_fields"),
-        F.when(n["_scored"] > 0, F.round(n["_sum"] / n["_scored"], 1)).alias("average_confidence"),
+        F.when(n["_scored"] > 0, V.one_decimal(n["_sum"] / n["_scored"])).alias("average_confidence"),
         n["_below"].cast("long").alias("below_threshold"),
-        F.when(n["_scored"] > 0, F.round((n["_scored"] - n["_below"]) / n["_scored"] * 100, 1)).alias("threshold_pass_rate"),
+        F.when(n["_scored"] > 0, V.one_decimal((n["_scored"] - n["_below"]) / n["_scored"] * 100)).alias("threshold_pass_rate"),
         n["_comparable"].cast("long").alias("comparable_fields"),
         n["_corrected"].cast("long").alias("corrected_fields"),
-        F.when(n["_comparable"] > 0, F.round(n["_corrected"] / n["_comparable"] * 100, 1)).alias("correction_rate"),
+        F.when(n["_comparable"] > 0, V.one_decimal(n["_corrected"] / n["_comparable"] * 100)).alias("correction_rate"),
     )
 
 
@@ -248,7 +248,7 @@ def review_summary(readings: DataFrame, threshold: float, by: list[str]) -> Data
     """Mean normalised confidence and flagged readings; an unscored reading counts as 0."""
     c = V.normalise_confidence(F.col("ocr_confidence"))
     return readings.groupBy(*by).agg(
-        F.count("*").alias("readings"), F.round(F.avg(c), 1).alias("average_confidence"),
+        F.count("*").alias("readings"), V.one_decimal(F.avg(c)).alias("average_confidence"),
         F.count_if(c < threshold).alias("flagged"),
     )
 

@@ -28,7 +28,7 @@ def report_summary(matching: DataFrame, fields: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "submitted").alias("submitted"),
         F.count_if(F.col("status") == "draft").alias("drafts"),
-        F.round(F.try_divide(F.sum("_sum"), F.sum("_n")), 1).alias("average_confidence"),
+        V.one_decimal(F.try_divide(F.sum("_sum"), F.sum("_n"))).alias("average_confidence"),
     )
 
 
@@ -36,7 +36,7 @@ def report_rows(matching: DataFrame, fields: DataFrame, users: DataFrame, types:
     """The twelve export columns of each matching record."""
     per_record = fields.groupBy(F.col("record_id").alias("id")).agg(
         title_expr().alias("_title"), F.count("*").alias("_fields"),
-        F.round(F.avg("ocr_confidence"), 1).alias("average_confidence"),
+        V.one_decimal(F.avg("ocr_confidence")).alias("average_confidence"),
     )
     stamp = "yyyy-MM-dd HH:mm:ss"
     return enrich_records(matching, users, types).join(per_record, "id", "left").select(
