@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docreg.functions.prefix import ranked, running
+from docreg.functions import prefix
+from docreg.functions.prefix import crowded, ranked, running
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,14 @@ def test_null_keys_form_their_own_group(rows):
     df = rows("k int, t int", (None, 1), (None, 2), (1, 3))
     got = ranked(df, ["k"], [F.col("t")], F.floor(F.col("t") / 2), "rank").collect()
     assert sorted((r.t, r.rank) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_crowded_finds_hot_keys_only(spark, skewed, monkeypatch):
+    monkeypatch.setattr(prefix, "_CROWD", 200)
+    df = spark.createDataFrame(skewed)
+    hot = {r.k for r in df.where(crowded(df, "k")).select("k").distinct().collect()}
+    assert hot == {0}
+    assert df.where(~crowded(df, "k")).count() == (skewed["k"] != 0).sum()
+    got = ranked(df.where(~crowded(df, "k")), ["k"], [F.col("t")], None, "rank").toPandas().sort_values("t")
+    want = skewed[skewed["k"] != 0].sort_values("t").groupby("k").cumcount() + 1
+    assert got["rank"].tolist() == want.tolist()

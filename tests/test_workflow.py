@@ -1,8 +1,9 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from docreg.functions import prefix
 from docreg.operators import workflow as W
 
 T0 = datetime(2026, 5, 1)
@@ -150,3 +151,14 @@ def test_submitted_row(rows, records):
     types = rows("id long, key string, name string, short_name string", (1, "death", "Death", None))
     row = W.submitted_audit(r, f, types).collect()
     assert [(x.description, x.field_count, x.corrected_fields) for x in row] == [("Submitted and locked a Birth record.", 2, 1)]
+
+
+def test_history_of_a_hot_field_and_of_others(rows, monkeypatch):
+    monkeypatch.setattr(prefix, "_CROWD", 20)
+    q = rows(REQUEST, *[(i, 1, "approved", False, None, 5, 7, T0, T0 + timedelta(hours=i // 2)) for i in range(100)])
+    i = rows("id long, change_request_id long, record_field_id long, current_value string, proposed_value string",
+             *[(k, k, 11, "", f"v{k}") for k in range(100)], *[(200 + k, k, 12 + k % 5, "", "w") for k in range(30)])
+    got = {(r.record_field_id, r.change_request_id): r.newest for r in W.field_change_history(i, q).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 11} == {k: 100 - k for k in range(100)}
+    assert {k[1]: v for k, v in got.items() if k[0] == 12} == {25: 1, 20: 2, 15: 3, 10: 4, 5: 5, 0: 6}
+    assert len(got) == 130
