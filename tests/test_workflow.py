@@ -162,3 +162,15 @@ def test_history_of_a_hot_field_and_of_others(rows, monkeypatch):
     assert {k[1]: v for k, v in got.items() if k[0] == 11} == {k: 100 - k for k in range(100)}
     assert {k[1]: v for k, v in got.items() if k[0] == 12} == {25: 1, 20: 2, 15: 3, 10: 4, 5: 5, 0: 6}
     assert len(got) == 130
+
+
+def test_approvals_of_a_hot_field_follow_each_other(rows, records, fields, monkeypatch):
+    monkeypatch.setattr(prefix, "_CROWD", 5)
+    n = 12
+    a = approve(rows, records, fields,
+                [(k, 1, "pending", False, None, 5, None, None, T0) for k in range(n)],
+                [*[(k, k, 12, "", f"v{k}") for k in range(n)], (100, 3, 11, "", "Maria")],
+                *[(k, 7, T0 + timedelta(hours=9 * k), None) for k in range(n)])
+    steps = {r.item_id: (r.old_value, r.new_value) for r in a.applied.collect()}
+    assert steps == {**{k: (f"v{k - 1}" if k else "none", f"v{k}") for k in range(n)}, 100: ("Mana Santos", "Maria")}
+    assert {r.id: r.verified_value for r in a.fields.collect()} == {11: "Maria", 12: "v11", 31: "Ben"}
