@@ -174,3 +174,12 @@ def test_approvals_of_a_hot_field_follow_each_other(rows, records, fields, monke
     steps = {r.item_id: (r.old_value, r.new_value) for r in a.applied.collect()}
     assert steps == {**{k: (f"v{k - 1}" if k else "none", f"v{k}") for k in range(n)}, 100: ("Mana Santos", "Maria")}
     assert {r.id: r.verified_value for r in a.fields.collect()} == {11: "Maria", 12: "v11", 31: "Ben"}
+
+
+def test_items_that_cannot_open_stay_behind(rows, records, fields, nothing):
+    """The items are read once and meet only proposals that may open; nothing is compared for drafts."""
+    o = opened(rows, records, fields, nothing, [(1, 1, "r", 5, T0, False, None), (2, 2, "r", 5, T0, True, "X")],
+               [(1, 11, "Maria"), (1, 12, "none"), (2, 12, "x")])
+    assert [tuple(r) for r in o.items.collect()] == [(1, 11, "Mana Santos", "Maria")]
+    plan = o.items._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
