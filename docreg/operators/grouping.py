@@ -305,6 +305,16 @@ def person_counts(members: DataFrame) -> DataFrame:
         F.countDistinct("number").alias("person_count"))
 
 
+def stored_person_counts(fields: DataFrame) -> DataFrame:
+    """``person_counts`` of the stored groups, straight from the fields: no field is placed.
+
+    Rows travel narrow and uncounted, so that no scan task holds a table of all records.
+    """
+    number = F.coalesce("person_group", F.lit(0)).cast("int").alias("number")
+    people = fields.select("record_id", number).where("number > 0")
+    return people.repartition("record_id").groupBy("record_id").agg(F.countDistinct("number").alias("person_count"))
+
+
 def record_headings(records: DataFrame, types: DataFrame, members: DataFrame, fields: DataFrame) -> DataFrame:
     """Heading of each record: its entries, its number of people, or its registry number."""
     leads = _member_values(members.where((F.col("kind") == "person") & (F.col("position") == 0)), fields)

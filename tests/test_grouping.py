@@ -249,3 +249,14 @@ def test_other_rules(rows):
     files = rows("filename string, length long", ("a.PDF", 10), ("b.exe", 10), ("c.png", 30_000_000), ("d.tif", 1))
     assert [len(r.violations) for r in quality.check_uploads(files).orderBy("filename").collect()] == [0, 1, 1, 1]
     assert quality.check_uploads(files, "sample").where("filename = 'd.tif'").first().violations == []
+
+
+def test_people_are_counted_and_orphans_found_without_placing_fields(stored, rows):
+    placed = G.field_groups_persisted(stored)
+    counts = G.stored_person_counts(stored)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, G.person_counts(placed).collect())) != []
+    known = stored.first().id
+    items = rows("id long, record_field_id long", (1, known), (2, 987654321))
+    assert [r.id for r in joins.orphaned_items(items, stored).collect()] == [2]
+    for df in (counts, joins.orphaned_items(items, stored)):
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
