@@ -73,6 +73,11 @@ def request_detail(items: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
     )
 
 
+def orphaned_items(items: DataFrame, fields: DataFrame) -> DataFrame:
+    """Items whose field is gone: the orphans of ``request_detail``, without placing any field."""
+    return items.join(fields.select(F.col("id").alias("record_field_id")), "record_field_id", "left_anti")
+
+
 def template_matches_type(records: DataFrame, templates: DataFrame, models: DataFrame) -> DataFrame:
     """Adds ``violations``: foreign template, or a model that is unknown or gone from disk."""
     owner = templates.select(F.col("id").alias("document_template_id"), F.col("document_type_id").alias("_owner"))
