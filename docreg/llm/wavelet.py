@@ -17,15 +17,19 @@ writes no file. A retried task writes the same bytes again under the same name.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import Broadcast, TaskContext
@@ -39,6 +43,8 @@ MAGIC = b"WVM1"
 NO_ID = -(1 << 63)
 END = 2
 LONGEST_KNOWN = 64
+PIECE = 1 << 21
+WORDS = 64
 
 
 class WaveletMatrix:
@@ -111,7 +117,7 @@ def planes_of(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """Bit-planes of a wavelet matrix as 0/1 arrays."""
     current = ids
     for shift in range(bits - 1, -1, -1):
-        ones = (current >> shift & 1).astype(bool)
+        ones = (current & current.dtype.type(1 << shift)) != 0
         yield ones
         current = np.concatenate([current[~ones], current[ones]])
 
@@ -150,44 +156,102 @@ class ShardFile:
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizers(path: str):
+    """The tokenizer of a file and the same without its normalizer; both set the words of a list apart by LF."""
+    # Worker processes share the cores already; threads of the library only add to their work.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None
+    for tokenizer in (whole, plain):
+        tokenizer.add_special_tokens(["\n"])
+    return whole, plain
+
+
+# Such a word is in normal form (NFC) and holds no white space, so a normalizer can only lower it.
+_PLAIN = re.compile(r"[!-~\xA1-\xFF]+").fullmatch
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(words of each text, number of each word, distinct words by number), cut at ASCII white space."""
+    cut = pc.ascii_split_whitespace(texts.fill_null(""))
+    named = cut.flatten().cast(pa.binary()).dictionary_encode()
+    words = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return cut.value_lengths().to_numpy().astype(np.int64), named.indices.to_numpy(), words
+
+
+def pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each of about PIECE bytes of text or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:]):
+        yield batch.slice(start, stop - start)
 
 
 class WordEncoder:
     """Encodes texts word by word.
 
-    For tokenizers that drop white space and never join what it separates, a text's ids are
-    the ids of its words in order. ``known`` are words encoded beforehand; further words are
-    remembered until ``room`` of them are held, then those are forgotten.
+    For tokenizers that normalize by NFC, white space and lower case, drop white space and never
+    join what it separates, a text's ids are the ids of its words in order. ``known`` are words
+    encoded beforehand; further words are remembered until ``room`` of them are held, then those
+    are forgotten.
     """
 
     def __init__(self, path: str, known: dict[bytes, bytes] | None = None, room: int = 200_000):
-        self.tokenizer, self.room = _tokenizer(path), room
+        self.whole, self.plain = _tokenizers(path)
+        self.gap = self.whole.token_to_id("\n")
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if t.content != "\n"]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
+        self.room = room
         self.known = dict(known or {})
         self.further: list[bytes] = []
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text; the unknown words of all of them are encoded in one go."""
-        cut = [(text or "").encode().split() for text in texts]
-        words = set().union(*cut)
-        new = list(words.difference(self.known))
+        """Little-endian 32-bit ids of each word; plain words that only differ in case are encoded once."""
+        names = [w.decode() for w in words]
+        # Added tokens are looked for before case is folded, so words that hold one in any case keep theirs.
+        special = {n for n in names if self.added(n)} if self.added("\n".join(names)) else ()
+        folded = [n.lower() if _PLAIN(n) and n not in special else "" for n in names]
+        plain = self._lists(self.plain, list(dict.fromkeys(filter(None, folded))))
+        other = self._lists(self.whole, [n for n, low in zip(names, folded) if not low])
+        return [plain[low] if low else other[n] for n, low in zip(names, folded)]
+
+    def _lists(self, tokenizer, names: list[str]) -> dict[str, bytes]:
+        """Ids of each word, encoded WORDS at a time."""
+        found: list[bytes] = []
+        lists = ["\n".join(names[start:start + WORDS]) for start in range(0, len(names), WORDS)]
+        # Few at a time, so that what the library returns stays in the cache.
+        groups = (tokenizer.encode_batch_fast(lists[start:start + 16], add_special_tokens=False) for start in range(0, len(lists), 16))
+        for encoded in chain.from_iterable(groups):
+            ids = np.array(encoded.ids, "<u4")
+            raw, begin = ids.tobytes(), 0
+            for stop in [*np.flatnonzero(ids == self.gap).tolist(), len(ids)]:
+                found.append(raw[4 * begin:4 * stop])
+                begin = stop + 1
+        return dict(zip(names, found, strict=True))
+
+    def encode(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
+        """Ids of each text and ``end``; the unknown words of all of them are encoded in one go."""
+        counts, numbers, words = split_words(texts)
+        new = [w for w in words if w not in self.known]
         if len(self.further) + len(new) > self.room:
             for word in self.further:
                 del self.known[word]
-            self.further, new = [], list(words.difference(self.known))
+            self.further, new = [], [w for w in words if w not in self.known]
         self.known.update(zip(new, self.ids_of(new)))
         self.further += new
-        ids = self.known.__getitem__
-        for words in cut:
-            yield b"".join(map(ids, words))
+        pieces = [*map(self.known.__getitem__, words), struct.pack("<I", end)]
+        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+        begins, flat = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(pieces), "<u4")
+        # The end stands behind each text's words like one more word.
+        order = np.insert(numbers, np.cumsum(counts), len(words))
+        wide = sizes[order]
+        at = np.cumsum(wide, dtype=np.int32)
+        ids = flat[np.repeat(begins[order] - at + wide, wide) + np.arange(at[-1] if len(at) else 0, dtype=np.int32)]
+        stops = at[np.cumsum(counts + 1) - 1].tolist()
+        for a, b in zip([0, *stops], stops):
+            yield ids[a:b]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -208,8 +272,9 @@ def frequent_words(documents: DataFrame, tokenizer: str, sample_rows: int, keep:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update((text or "").encode().split())
+            for piece in pieces_of(batch, 0):
+                _, numbers, found = split_words(piece.column(0))
+                seen.update(dict(zip(found, np.bincount(numbers, minlength=len(found)).tolist())))
         rows = [(w, n) for w, n in seen.items() if len(w) <= LONGEST_KNOWN]
         for start in range(0, len(rows), 50_000):
             words, counts = zip(*rows[start:start + 50_000])
@@ -248,15 +313,15 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, max_tokens:
         files, place = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(place, recursive=True)
         encoder, part = _encoder(tokenizer, words, job), TaskContext.get().partitionId()
-        end, number = np.array([END], "<u4").tobytes(), 0
-        ids: list[bytes] = []
+        number = 0
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, names, held, number
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            image = pack(names, [len(i) // 4 for i in ids], flat)
+            flat = np.concatenate(ids)
+            image = pack(names, [len(i) for i in ids], flat)
             name = f"shard-{part:06d}-{number:06d}.wm"
             draft = f"{place}/.{name}.{uuid.uuid4().hex}"
             with files.open_output_stream(draft) as out:
@@ -267,14 +332,13 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, max_tokens:
             return row
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                piece = batch.slice(start, 500)
-                for doc_id, found in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
-                    if held and held + len(found) // 4 + 1 > max_tokens:
+            for piece in pieces_of(batch, 1):
+                for doc_id, found in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1), END)):
+                    if held and held + len(found) > max_tokens:
                         yield flush()
-                    ids.append(found + end)
+                    ids.append(found)
                     names.append(doc_id)
-                    held += len(found) // 4 + 1
+                    held += len(found)
         if names:
             yield flush()
 

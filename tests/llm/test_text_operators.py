@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -407,5 +408,21 @@ def test_wavelet_shards_keep_special_literals(spark):
     assert tokenizer.encode(texts[2], add_special_tokens=False).ids == [320, 321, 49407, 322, 49406]
 
 
+def test_words_of_many_texts_are_encoded_in_lists():
+    """Columns of texts; lists of words without the normalizer's work, and added tokens in other cases stay plain."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "  a B ", "<|EndOfText|> x<|ENDOFTEXT|>y Z<|endoftext|>Q", "\x1ca\x85b\xa0c", "\u00c9 e\u0301 \u0130x \u1e9e \u00df \u00b5",
+             "\n\n<|startoftext|>\n", "I'M don't 'LL 12ab !!", "Ton TON ton. " * 40, *BPE_TEXTS]
+    tokenizer = Tokenizer.from_file(path)
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for room in (200_000, 3):
+        encoder = wavelet.WordEncoder(path, room=room)
+        for _ in range(2):
+            assert [ids.tolist() for ids in encoder.encode(pa.array(texts, pa.string()), 2)] == want
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (wavelet.PIECE // 2 + 1)] * 3 + [None, "y"])], ["text"])
+    slices = list(wavelet.pieces_of(batch, 0))
+    assert len(slices) > 1 and pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch]))
+
+
 def test_null_text_is_empty(spark):
     assert spark.range(1).select(F.lit(None).cast("string").alias("text")).select(text_of()).first()[0] == ""
