@@ -2,9 +2,9 @@
 
 A text is cut by the tokenizer's pattern. Each word becomes the array of its bytes, each
 packed with its id and the rank of the pair it begins, and a fold merges the adjacent pair
-of lowest rank (leftmost first) until no pair has a rank. The rank map is a literal: a table
-of (pair of ids, rank) packed in longs, addressed by a collision-free hash, since Spark's own
-map type is searched from end to end.
+of lowest rank (leftmost first) until no pair has a rank. The rank map is a table of (pair of ids, rank) packed
+in longs, addressed by a collision-free hash, since Spark's own map type is searched from end to
+end. It comes as a scalar subquery: a literal would be spelt out in every description of a plan.
 
 The fold costs far more than a lookup, so each text folds only distinct words: the frequent
 words of a bounded sample are folded once and kept in a memory of bounded size, a task cuts
@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +56,6 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return ranks
 
 
-def _literal(value: object, kind: str) -> Column:
-    """Constant column of a nested type; the optimizer folds it to a literal once."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
-
-
 def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """(shifts, slots) with every pair of ids that merges, as ``key * 2^17 + rank``, in slot ``key mod _AWAYS + shifts[key mod _HOMES]``.
 
@@ -106,20 +102,48 @@ def _arrow(df: DataFrame, each: Callable[[pa.RecordBatch], list[pa.Array]], sche
     return df.mapInArrow(run, schema)
 
 
+def _inner(cells: pa.ListArray) -> pa.Array:
+    """Ids of each word's cells, without the edges, as little-endian 32-bit numbers."""
+    sizes = cells.value_lengths().to_numpy()
+    flat = (cells.flatten().to_numpy() & _MASK).astype("<i4")
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(flat), bool)
+    inside[ends - 1] = inside[ends - sizes] = False
+    offsets = np.concatenate([[0], np.cumsum(4 * (sizes - 2))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside].tobytes())])
+
+
+_memories: dict[str, dict[str, bytes]] = {}
+
+
+def _memory(shared: Broadcast, key: str) -> dict[str, bytes]:
+    """Ids of the known words, unpacked once per worker process and tokenizer (``key``)."""
+    if key not in _memories:
+        _memories.clear()
+        words, ids = pa.ipc.open_stream(shared.value).read_all().columns if shared.value else ([], [])
+        _memories[key] = dict(zip(*(c.to_numpy().tolist() if len(c) else [] for c in (words, ids))))
+    return _memories[key]
+
+
 class ByteBpe:
     """Encodes and decodes with one rank map."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
-        self.words: dict[str, bytes] = {}
+        self.words = b""  # an Arrow stream of (word, ids): the driver never unpacks it
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self._bytes = np.array([ranks[bytes([value])] for value in range(256)], np.int64)
         self._pairs = np.array([ranks.get(bytes([a, b]), _ID) for a in range(256) for b in range(256)], np.int64)
-        self._shifts, self._slots = pair_table(ranks)
+        shifts, slots = pair_table(ranks)
+        self._tables = pa.table({"shifts": pa.array([shifts], pa.list_(pa.int32())), "slots": pa.array([slots], pa.list_(pa.int64()))})
         self._shared: Broadcast | None = None
 
+    def with_tables(self, df: DataFrame) -> DataFrame:
+        """Adds ``tables``, for one call of ``fold``. Only there can Spark put the subquery in place, without copying it into rows."""
+        return df.withColumn("tables", df.sparkSession.createDataFrame(self._tables).select(F.struct("shifts", "slots")).scalar())
+
     def fold(self, words: Column) -> Column:
         """Cells (array<bigint>) of each of several words, given as arrays of the cells of their bytes.
 
@@ -127,8 +151,7 @@ class ByteBpe:
         the array and its id, from the highest bits down; so the least cell is the leftmost
         pair of lowest rank. An edge without rank stands at both ends.
         """
-        literals = F.struct(_literal(self._shifts, "array<int>").alias("shifts"), _literal(self._slots, "array<bigint>").alias("slots"))
-        return let(literals, lambda lits: F.transform(words, lambda word: self._fold(word, lits)))
+        return let(F.col("tables"), lambda lits: F.transform(words, lambda word: self._fold(word, lits)))
 
     def _fold(self, word: Column, lits: Column) -> Column:
         none, ids, rest = _long(_ID << _RANK), _long(_MASK), _long((1 << _RANK) - 1)
@@ -195,10 +218,12 @@ class ByteBpe:
         top = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
         top = top.orderBy(F.desc("n"), "word").limit(keep).select("word").repartition("word")
         parts = _arrow(top, lambda b: [b.column(0), parts_of(b.column(0).to_pylist())], "word string, parts array<bigint>")
-        rows = parts.select("word", self.fold(F.array("parts"))[0].alias("cells")).toArrow()
-        cells = rows.column("cells").combine_chunks()
-        flat, ends = (cells.values.to_numpy() & _MASK).astype("<i4"), cells.offsets.to_numpy()
-        self.words = {w: flat[a + 1:b - 1].tobytes() for w, a, b in zip(rows.column("word").to_pylist(), ends[:-1], ends[1:])}
+        cells = self.with_tables(parts).select("word", self.fold(F.array("parts"))[0].alias("cells"))
+        rows = _arrow(cells, lambda b: [b.column(0), _inner(b.column(1))], "word string, ids binary").toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        self.words = sink.getvalue().to_pybytes()
         self._shared = None
         return self
 
@@ -206,10 +231,11 @@ class ByteBpe:
         """(doc_id, ids, fresh): ids of known words, and -k for the k-th of the text's distinct words that are not."""
         if self._shared is None:
             self._shared = documents.sparkSession.sparkContext.broadcast(self.words)
-        shared, pattern, parts_of = self._shared, self.pattern, self._parts_maker()
+            self._key = uuid.uuid4().hex
+        shared, key, pattern, parts_of = self._shared, self._key, self.pattern, self._parts_maker()
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            find, known = regex.compile(pattern).findall, shared.value
+            find, known = regex.compile(pattern).findall, _memory(shared, key)
             ids, fresh, counts = [], [], []
             for text in batch.column(1).to_pylist():
                 words = find(text or "")
@@ -230,7 +256,7 @@ class ByteBpe:
         """(doc_id, columns) with ``each(ids)`` giving the columns of one text from all its ids."""
         cut = self.cut(documents)
         kind = documents.schema["doc_id"].dataType.simpleString()
-        folded = cut.select("doc_id", "ids", F.when(F.size("fresh") > 0, self.fold(F.col("fresh"))).alias("folded"))
+        folded = self.with_tables(cut).select("doc_id", "ids", F.when(F.size("fresh") > 0, self.fold(F.col("fresh"))).alias("folded"))
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = [each(ids) for ids in _filled(batch.column(1), batch.column(2))]

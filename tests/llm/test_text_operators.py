@@ -364,6 +364,14 @@ def test_byte_bpe_equals_tiktoken(spark, bpe):
             assert r.decoded_sha256 == hashlib.sha256((BPE_TEXTS[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_byte_bpe_keeps_its_tables_out_of_plans_and_driver(spark, bpe):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(BPE_TEXTS)], "doc_id bigint, text string")
+    tool = bpe.with_words(df, 100, 50)
+    assert isinstance(tool.words, bytes)  # not a dictionary of Python objects
+    plan = byte_bpe.report(df, tool)._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
+
+
 def test_wavelet_file_round_trip():
     rng = np.random.default_rng(4)
     ids = rng.integers(0, 50, 500).astype("<u4")
