@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docreg import schemas
+from docreg.functions.resumable import Sha256
+from docreg.session import ship_package
 
 # --- fixed values -----------------------------------------------------------
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tiff", "tif")
@@ -14,6 +22,8 @@ WEIGHT_FILES = ("model.safetensors", "pytorch_model.bin")
 CONFIG_FILE = "config.json"
 REPORT_FILE = "evaluation-report.json"
 MAX_REPORT_BYTES = 1024 * 1024
+# A larger file is hashed split by split; so many of them at a time.
+LARGE_FILE, LARGE_AT_ONCE = 256 * 1024 * 1024, 4
 # ----------------------------------------------------------------------------
 
 
@@ -108,16 +118,79 @@ def read_evaluation_reports(
 
 
 def file_digest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, folder, filename, length, modificationTime, sha256) of each file (each below 2 GB, the row limit)."""
-    return _digested(_binary_files(spark, path, glob))
+    """(path, folder, filename, length, modificationTime, sha256) of each file, of any size.
+
+    A file up to ``LARGE_FILE`` is one row. A larger one is hashed here, split by split: see ``_chained``.
+    """
+    return _digested(spark, path, glob, lambda files: files)
 
 
-def _digested(files: DataFrame) -> DataFrame:
+def _digested(spark: SparkSession, root: str, glob: str | None, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    length = F.col("length")
     parts = F.split("path", "/")
-    return files.select(
+    small = wanted(_binary_files(spark, root, glob).where(length <= LARGE_FILE)).select(
         "path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("filename"),
         "length", "modificationTime", F.sha2("content", 256).alias("sha256"),
     )
+    large = wanted(list_files(spark, root, glob).where(length > LARGE_FILE)).select(
+        "path", "folder", "filename", "length", F.unix_micros("modificationTime").alias("_at")).collect()
+    if not large:
+        return small
+    ship_package(spark)
+    with ThreadPoolExecutor(LARGE_AT_ONCE) as pool:
+        digests = list(pool.map(lambda file: _chained(spark, file.path, file.length), large))
+    hashed = spark.createDataFrame(
+        [(*file, digest) for file, digest in zip(large, digests)],
+        "path string, folder string, filename string, length long, _at long, sha256 string")
+    return small.unionByName(hashed.withColumn("modificationTime", F.timestamp_micros("_at")).drop("_at"))
+
+
+def _chained(spark: SparkSession, path: str, length: int) -> str:
+    """SHA-256 of one file, each split hashed by a task of its own from where the split before it ended.
+
+    The splits are those of Spark's text reader, cut at line feeds; a stretch without one is read whole. Only the
+    state of the hash passes through the driver. The reader drops a byte order mark and does not tell whether the
+    last line is ended; both follow from the length, which is checked.
+    """
+    literal = re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(literal).select(
+        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("start"))
+    splits = lines.rdd.getNumPartitions()
+    for mark in (b"", codecs.BOM_UTF8):
+        begun = Sha256()
+        begun.update(mark)
+        state, done, start = begun.state, len(mark), -1
+        for split in range(splits):
+            step = lines.mapInArrow(_go_on(state, done, start), "state binary, done long, start long")
+            (state, done, start), = spark.sparkContext.runJob(step.rdd, list, [split])
+        sha = Sha256(bytes(state))
+        if done == length - 1:
+            sha.update(b"\n")
+        if done in (length, length - 1):
+            return sha.hexdigest()
+    raise ValueError(f"{path}: {done} bytes read of {length}; files that Spark's text reader unpacks "
+                     "or that change meanwhile cannot be hashed in pieces")
+
+
+def _go_on(state: bytes, done: int, start: int):
+    """Batch function over the lines of one split: hashes them behind ``done`` bytes of the file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, length, at = Sha256(bytes(state)), done, start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begin = batch.column("start")[0].as_py()
+            if begin <= start or at not in (start, begin):
+                raise ValueError("the splits of the file are out of order")
+            data = b"\n".join(batch.column("line").to_pylist())
+            if at >= 0:
+                data = b"\n" + data
+            at = begin
+            sha.update(data)
+            length += len(data)
+        yield pa.RecordBatch.from_pydict({"state": [sha.state], "done": [length], "start": [at]})
+
+    return run
 
 
 def refresh_digests(spark: SparkSession, root: str, known: DataFrame, glob: str | None = None) -> DataFrame:
@@ -126,6 +199,6 @@ def refresh_digests(spark: SparkSession, root: str, known: DataFrame, glob: str
     A rewritten file of equal length is digested again. Known files are dropped before the digest.
     """
     version = ["path", "length", "modificationTime"]
-    fresh = _digested(_binary_files(spark, root, glob).join(known.select(*version), version, "left_anti"))
+    fresh = _digested(spark, root, glob, lambda files: files.join(known.select(*version), version, "left_anti"))
     kept = known.join(list_files(spark, root, glob).select(*version), version, "left_semi")
     return kept.unionByName(fresh.select(*kept.columns))

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 from datetime import datetime, timedelta
 
 from docreg import schemas
@@ -26,6 +28,29 @@ def test_image_listing_does_not_read_contents(spark, tmp_path):
     assert "content" not in images._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_digests_of_files_larger_than_a_row(spark, tmp_path, monkeypatch):
+    noise = random.Random(3).randbytes
+    data = {"noise [1].bin": noise(90_000), "ended.bin": noise(40_000) + b"\n", "blank.bin": b"\n" * 9_000, "mark.bin": b"\xef\xbb\xbf" + noise(30_000) + b"\n\n",
+            "dos.txt": b"a\r\n\r" * 4_000, "one-line.bin": b"\0" * 20_000, "small.bin": b"x\n"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    want = {name: (len(content), hashlib.sha256(content).hexdigest()) for name, content in data.items()}
+    monkeypatch.setattr(FS, "LARGE_FILE", 5_000, raising=False)
+    # The row limit, 2 GB by default, and splits small enough that every file has several.
+    limits = {"spark.sql.sources.binaryFile.maxLength": "5000", "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        digests = FS.file_digest(spark, str(tmp_path))
+        assert {r.filename: (r.length, r.sha256) for r in digests.collect()} == want
+        known = digests.where("filename not in ('noise [1].bin', 'small.bin')")
+        again = FS.refresh_digests(spark, str(tmp_path), known)
+        assert {r.filename: (r.length, r.sha256) for r in again.collect()} == want
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+
+
 def test_registry_tables_are_typed(spark, rows, tmp_path):
     for name in schemas.TABLES:
         rows("id int, name string", (1, "x")).write.parquet(str(tmp_path / name))
