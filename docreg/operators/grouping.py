@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docreg.functions import values as V
-from docreg.functions.prefix import ranked, running
-from docreg.schemas import MAX_FIELDS
+from docreg.functions.prefix import crowded, ranked, running
 
 _OUT = ["record_id", "field_id", "kind", "number", "group_id", "label", "position"]
 
@@ -32,33 +31,20 @@ def _named(number: Column, details_id: str, details_label: str) -> list[Column]:
     ]
 
 
-def _with_size(fields: DataFrame) -> DataFrame:
-    """Adds ``_size`` and ``_stored`` of the record, from map-side partial counts."""
-    per_record = fields.groupBy("record_id").agg(
-        F.count("*").alias("_size"), F.bool_or(F.col("person_group").isNotNull()).alias("_stored"))
-    return fields.join(per_record, "record_id", "inner")
+def _stored_place(fields: DataFrame) -> tuple[Column, Column]:
+    """The stored person number of a field and its place among the fields of that number."""
+    place = F.when(F.col("person_group").isNull(), F.col("sort_order")).otherwise(
+        F.coalesce("person_field_order", "sort_order"))
+    return F.coalesce("person_group", F.lit(0)).cast("int").alias("number"), place.cast("long").alias("_place")
 
 
-def _ranked_within(sized: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``_rank`` per key. A plain window serves records inside the 450-field rule, whose rows
-    are already together; the few beyond it are ranked piece by piece. ``order`` ends in field_id.
-    """
-    inside = sized.where(F.col("_size") <= MAX_FIELDS).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    is_text = isinstance(sized.schema["field_id"].dataType, T.StringType)
+def _persisted(fields: DataFrame, crowd: bool) -> DataFrame:
+    """Stored groups. Records of a ``crowd`` are ranked piece by piece, others by a plain window."""
+    work = fields.select("record_id", F.col("id").alias("field_id"), *_stored_place(fields), "sort_order")
+    keys, order = ["record_id", "number"], ["_place", "sort_order", "field_id"]
+    is_text = isinstance(work.schema["field_id"].dataType, T.StringType)
     piece = F.substring("field_id", 1, 8) if is_text else F.floor(F.col("field_id") / 1024)
-    beyond = ranked(sized.where(F.col("_size") > MAX_FIELDS), keys, [F.col(c) for c in order],
-                    F.struct(*order[:-1], piece), "_rank")
-    return inside.unionByName(beyond)
-
-
-def _persisted(sized: DataFrame) -> DataFrame:
-    number = F.coalesce("person_group", F.lit(0)).cast("int")
-    place = F.when(F.col("person_group").isNull(), F.col("sort_order")).otherwise(
-        F.coalesce("person_field_order", "sort_order"))
-    work = sized.select("record_id", F.col("id").alias("field_id"), number.alias("number"),
-                        place.cast("long").alias("_place"), "sort_order", "_size")
-    placed = _ranked_within(work, ["record_id", "number"], ["_place", "sort_order", "field_id"])
+    placed = ranked(work, keys, [F.col(c) for c in order], F.struct(*order[:-1], piece) if crowd else None, "_rank")
     kind, group_id, label = _named(F.col("number"), "document-details", "Document details")
     return placed.select("record_id", "field_id", kind, "number", group_id, label,
                          (F.col("_rank") - 1).cast("int").alias("position"))
@@ -66,21 +52,9 @@ def _persisted(sized: DataFrame) -> DataFrame:
 
 def field_groups_persisted(fields: DataFrame) -> DataFrame:
     """Stored person groups; fields without one form the document details."""
-    return _persisted(_with_size(fields))
-
-
-def _whole_document(sized: DataFrame, by_height: bool = False) -> DataFrame:
-    """Every field in one 'Record details' group, in sort order or down the page."""
-    zero = F.lit(0.0)
-    centre = F.coalesce("y", zero) + F.greatest(F.lit(SMALLEST_SIDE), F.coalesce("height", zero)) / 2
-    work = sized.select("record_id", F.col("id").alias("field_id"), "sort_order", "_size",
-                        centre.alias("_cy"), F.coalesce("x", zero).alias("_x"))
-    order = ["_cy", "_x", "sort_order", "field_id"] if by_height else ["sort_order", "field_id"]
-    placed = _ranked_within(work, ["record_id"], order)
-    return placed.select(
-        "record_id", "field_id", F.lit("details").alias("kind"), F.lit(0).alias("number"),
-        F.lit("record-details").alias("group_id"), F.lit("Record details").alias("label"),
-        (F.col("_rank") - 1).cast("int").alias("position"))
+    known = fields.where(F.col("record_id").isNotNull())
+    hot = crowded(known, "record_id")
+    return _persisted(known.where(~hot), crowd=False).unionByName(_persisted(known.where(hot), crowd=True))
 
 
 # ---------------------------------------------------------------- geometry
@@ -189,16 +163,50 @@ def _place(box: np.ndarray, workspace: bool) -> tuple[np.ndarray, np.ndarray, bo
     return number, position, bool(people)
 
 
+# Three rows of three, or a row of six and one of four: fewer boxes never form a register.
+FEWEST_BOXES = 9
+
+
+def _within(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of ``keys``, and the position of each among those that agree in all keys but the last."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[:-1]], axis=0)
+    at = np.arange(len(order))
+    return order, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
 def _infer(workspace: bool):
-    """Batch function over rows sorted by document; a document cut by a batch edge is carried over."""
+    """Batch function over rows sorted by document; a document cut by a batch edge is carried over.
+
+    Documents with stored groups (``grouped``, ``number``, ``place``) keep them and count as found. They and
+    documents too small for a register are placed together; only the others are walked one by one.
+    """
     def complete(frame: pd.DataFrame) -> pd.DataFrame:
         boxes = frame[["x", "y", "width", "height"]].to_numpy(dtype=float)
         ids = frame["record_id"].to_numpy()
-        edges = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        number, position = np.empty(len(frame), dtype=np.int32), np.empty(len(frame), dtype=np.int32)
-        found = np.empty(len(frame), dtype=bool)
-        for part in np.split(np.arange(len(frame)), edges):
-            number[part], position[part], found[part[0]:part[-1] + 1] = _place(boxes[part], workspace)
+        starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+        size = np.diff(np.append(starts, len(frame)))
+        document = np.repeat(np.arange(len(starts)), size)
+        number, position = np.zeros(len(frame), dtype=np.int32), np.empty(len(frame), dtype=np.int32)
+        stored = np.zeros(len(starts), dtype=bool)
+        if "grouped" in frame:
+            stored = np.logical_or.reduceat(frame["grouped"].to_numpy(dtype=bool), starts)
+            kept = np.flatnonzero(stored[document])
+            number[kept] = frame["number"].to_numpy()[kept]
+            order, at = _within(document[kept], number[kept], frame["place"].to_numpy()[kept])
+            position[kept[order]] = at
+        found = stored[document]
+        small = np.flatnonzero(((size < FEWEST_BOXES) & ~stored)[document])
+        if workspace:
+            x, y, _, height = np.nan_to_num(boxes[small]).T
+            centre = y + np.maximum(SMALLEST_SIDE, height) / 2
+            walk = np.lexsort((x, centre, document[small]))
+            small = small[walk]
+        position[small] = np.arange(len(small)) - np.searchsorted(document[small], document[small])
+        for i in np.flatnonzero((size >= FEWEST_BOXES) & ~stored):
+            part = slice(starts[i], starts[i] + size[i])
+            number[part], position[part], found[part] = _place(boxes[part], workspace)
         return frame[["record_id", "field_id"]].assign(number=number, position=position, found=found)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,31 +229,31 @@ def _infer(workspace: bool):
     return run
 
 
-# Three rows of three, or a row of six and one of four: fewer boxes never form a register.
-FEWEST_BOXES = 9
-
-
-def _inferred(sized: DataFrame, workspace: bool) -> DataFrame:
-    """Geometry for documents that can hold a register; the rest is placed by built-in ranking."""
-    possible = F.col("_size") >= FEWEST_BOXES
-    boxes = sized.where(possible).select(
-        "record_id", F.col("id").alias("field_id"), "sort_order", "x", "y", "width", "height")
+def _inferred(fields: DataFrame, workspace: bool, stored: bool = False) -> DataFrame:
+    """Every field travels once, to the task of its document, which places it."""
+    columns = ["person_group", "person_field_order"] if stored else []
+    boxes = fields.where(F.col("record_id").isNotNull()).select(
+        "record_id", F.col("id").alias("field_id"), "sort_order", "x", "y", "width", "height", *columns)
     out = T.StructType([
         boxes.schema["record_id"], boxes.schema["field_id"], T.StructField("number", T.IntegerType()),
         T.StructField("position", T.IntegerType()), T.StructField("found", T.BooleanType()),
     ])
     ordered = boxes.repartition("record_id").sortWithinPartitions("record_id", "sort_order", "field_id")
-    placed = ordered.mapInPandas(_infer(workspace), out)
+    kept = []
+    if stored:
+        of_person, place = _stored_place(boxes)
+        first = F.lit(-2**63)
+        kept = [F.col("person_group").isNotNull().alias("grouped"), of_person, F.coalesce(place, first).alias("place")]
+    placed = ordered.select("record_id", "field_id", "x", "y", "width", "height", *kept).mapInPandas(_infer(workspace), out)
     number = F.col("number")
     person = number > 0
     kind, group_id, label = _named(number, "document-details", "Document details")
     whole = ~F.col("found")
-    registers = placed.select(
+    return placed.select(
         "record_id", "field_id", kind, "number",
         F.when(whole, "record-details").otherwise(group_id).alias("group_id"),
         F.when(whole & ~person, "Record details").otherwise(label).alias("label"), "position",
     )
-    return registers.select(*_OUT).unionByName(_whole_document(sized.where(~possible), workspace).select(*_OUT))
 
 
 def field_groups_inferred(fields: DataFrame, workspace: bool = False) -> DataFrame:
@@ -255,7 +263,7 @@ def field_groups_inferred(fields: DataFrame, workspace: bool = False) -> DataFra
     workspace (other tie-breaks, best-aligned prototype row, longest unbroken run).
     A document of any size is inferred; ``check_field_count`` reports those above 450 fields.
     """
-    return _inferred(_with_size(fields), workspace)
+    return _inferred(fields, workspace)
 
 
 def field_groups_workspace(fields: DataFrame) -> DataFrame:
@@ -263,11 +271,17 @@ def field_groups_workspace(fields: DataFrame) -> DataFrame:
 
 
 def field_groups(fields: DataFrame) -> DataFrame:
-    """Stored groups where the record has any, inferred ones elsewhere."""
-    sized = _with_size(fields)
-    stored = _persisted(sized.where("_stored"))
-    guessed = _inferred(sized.where(~F.col("_stored")), workspace=False)
-    return stored.select(*_OUT).unionByName(guessed)
+    """Stored groups where the record has any, inferred ones elsewhere.
+
+    Only stored groups of crowded records are placed apart, piece by piece.
+    """
+    known = fields.where(F.col("record_id").isNotNull())
+    hot = crowded(known, "record_id")
+    busy = known.where(hot)
+    marked = busy.where(F.col("person_group").isNotNull()).select("record_id").distinct()
+    apart = _persisted(busy.join(marked, "record_id", "left_semi"), crowd=True)
+    rest = known.where(~hot).unionByName(busy.join(marked, "record_id", "left_anti"))
+    return apart.select(*_OUT).unionByName(_inferred(rest, workspace=False, stored=True).select(*_OUT))
 
 
 # ---------------------------------------------------------------- summaries

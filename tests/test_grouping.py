@@ -260,3 +260,24 @@ def test_people_are_counted_and_orphans_found_without_placing_fields(stored, row
     assert [r.id for r in joins.orphaned_items(items, stored).collect()] == [2]
     for df in (counts, joins.orphaned_items(items, stored)):
         assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_travel_once_and_crowded_records_keep_their_groups(rows, monkeypatch):
+    from docreg.functions import prefix
+    held = [(5000 + i, 5, "n", None, "v", [None, 2, 1][i % 3], [None, 3, 1, 2][i % 4], .1, .1, .1, .05, [None, 1, 0][i % 3 - 1]) for i in range(12)]
+    f = rows(FIELD, *register(1, [.2, .35, .5]), *register(2, [.1, .5]), *held, (9, None, "n", None, "v", 1, 0, .1, .1, .1, .05, 0))
+    for df in (G.field_groups_inferred(f), G.field_groups_workspace(f)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("REPARTITION_BY_COL") == 1
+    want = None
+    for crowd in (100_000, -100):
+        monkeypatch.setattr(prefix, "_CROWD", crowd)
+        got = [sorted((r.record_id, r.field_id, r.group_id, r.position) for r in df.collect()) for df in (G.field_groups(f), G.field_groups_persisted(f))]
+        assert want in (None, got)
+        want = got
+    places, persisted = want
+    assert [p for p in places if p[0] == 5] == [p for p in persisted if p[0] == 5]
+    # The row without a record is left out; places are ascending, nulls first.
+    assert len(places) == 9 + 6 + 12 and [p[3] for p in places if p[0] == 2] == list(range(6))
+    order = sorted((d for d in held if d[5] == 1), key=lambda d: (d[6] if d[6] is not None else d[11] if d[11] is not None else -1, d[11] if d[11] is not None else -1, d[0]))
+    assert [p[1] for p in sorted(places, key=lambda p: p[3]) if p[0] == 5 and p[2] == "person-1"] == [d[0] for d in order]
