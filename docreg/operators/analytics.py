@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docreg.functions import values as V
+from docreg.functions.prefix import crowded
 from docreg.operators.filters import submitted_in_scope
 from docreg.operators.ordering import newest_first, top_k
 from docreg.operators.scope import REPORTING_TZ, Scope, month_start
@@ -212,6 +213,30 @@ def last_active_admin_guard(users: DataFrame) -> DataFrame:
     return users.select("id", "name", (admin & (others == 0)).alias("is_last_active_admin"))
 
 
+def _touched_fields(approved: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, _touched): distinct fields of the approved requests of each record.
+
+    Fields of a record's only request are counted where they meet it. Fields of several requests, and
+    those of crowded ones, go on to their record.
+    """
+    requests = approved.groupBy("record_id").agg(F.count("*").alias("_requests"))
+    owned = approved.select("change_request_id", "record_id").join(requests, "record_id", "inner").select(
+        "change_request_id", "record_id", (F.col("_requests") == 1).alias("_alone"))
+    touching = items.where(F.col("record_field_id").isNotNull()).select("change_request_id", "record_field_id")
+    hot = crowded(touching, "change_request_id")
+    request = ["change_request_id", "record_id", "_alone"]
+    here = owned.join(touching.where(~hot), "change_request_id", "inner").select(*request, "record_field_id").distinct()
+    counted = here.groupBy(*request, F.when(~F.col("_alone"), F.col("record_field_id")).alias("_field")).agg(
+        F.count("*").alias("_n")).select("record_id", "_field", "_n")
+    one = F.lit(1).cast("long").alias("_n")
+    busy = owned.join(touching.where(hot), "change_request_id", "inner").select(
+        "record_id", F.col("record_field_id").alias("_field"), one)
+    # A record has either one counted row without a field or rows of fields.
+    fields = counted.unionByName(busy).groupBy("record_id", "_field").agg(F.sum("_n").alias("_n"))
+    return fields.groupBy(F.col("record_id").alias("id")).agg(
+        F.sum(F.when(F.col("_field").isNull(), F.col("_n")).otherwise(1)).alias("_touched"))
+
+
 def record_detail_counts(records: DataFrame, fields: DataFrame, items: DataFrame, requests: DataFrame,
                          person_counts: DataFrame | None = None) -> DataFrame:
     """Adjusted fields and post-submission changes per record.
@@ -223,10 +248,7 @@ def record_detail_counts(records: DataFrame, fields: DataFrame, items: DataFrame
         F.count_if(V.was_corrected(F.col("ocr_text"), F.col("verified_value"))).alias("_adjusted"))
     approved = requests.where(F.col("status") == "approved").select(
         F.col("id").alias("change_request_id"), "record_id", "changes_registry_number")
-    touched = (
-        approved.join(items.select("change_request_id", "record_field_id"), "change_request_id", "inner")
-        .groupBy(F.col("record_id").alias("id")).agg(F.countDistinct("record_field_id").alias("_touched"))
-    )
+    touched = _touched_fields(approved, items)
     renumbered = approved.groupBy(F.col("record_id").alias("id")).agg(
         F.bool_or("changes_registry_number").alias("_renumbered"))
     out = records.select("id").join(adjusted, "id", "left").join(touched, "id", "left").join(renumbered, "id", "left")

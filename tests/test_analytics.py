@@ -188,3 +188,29 @@ def test_seeking_page_by_page_equals_the_order(rows):
 def test_own_recent_activity(rows):
     log = rows("id int, user_id int, created_at timestamp", *[(i, i % 2, datetime(2024, 1, 1 + i // 2)) for i in range(20)])
     assert [r.id for r in ordering.own_recent_activity(log, 1).collect()] == [19, 17, 15, 13, 11, 9]
+
+
+def test_fields_of_an_only_request_are_counted_there(rows, monkeypatch):
+    import random
+
+    from docreg.functions import prefix
+    rng = random.Random(4)
+    requests = [(n, rng.choice([None, *range(8)]), rng.choice(["approved", "approved", "pending"]), rng.random() < .2) for n in range(25)]
+    items = [(rng.choice([None, *range(28)]), rng.choice([None, *(f"f{i}" for i in range(9))])) for _ in range(400)]
+    fields = [(n % 6, None, "v") for n in range(20)]
+    want = {}
+    for record in range(9):
+        mine = {q[0]: q[3] for q in requests if q[1] == record and q[2] == "approved"}
+        want[record] = len({f for q, f in items if q in mine and f is not None}) + any(mine.values())
+    only = [r for r in range(9) if sum(q[1] == r and q[2] == "approved" for q in requests) == 1]
+    assert only and len(set(want.values())) > 2
+    tables = (rows("id long", *[(r,) for r in range(9)]), rows("record_id long, ocr_text string, verified_value string", *fields),
+              rows("change_request_id long, record_field_id string", *items),
+              rows("id long, record_id long, status string, changes_registry_number boolean", *requests))
+    for crowd in (100_000, 15, -100):
+        monkeypatch.setattr(prefix, "_CROWD", crowd)
+        df = A.record_detail_counts(*tables)
+        assert {r.id: r.post_submission_changes for r in df.collect()} == want
+    import re
+    plan = A.record_detail_counts(*tables)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(record_id#\d+L, record_field_id#", plan)
