@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreg.llm.common import bounded_sample, let
+from docreg.llm.common import bounded_sample, forget, held, let
 from docreg.session import ship_package
 
 _HOMES = 49_999
@@ -113,16 +113,13 @@ def _inner(cells: pa.ListArray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside].tobytes())])
 
 
-_memories: dict[str, dict[str, bytes]] = {}
-
-
 def _memory(shared: Broadcast, key: str) -> dict[str, bytes]:
     """Ids of the known words, unpacked once per worker process and tokenizer (``key``)."""
-    if key not in _memories:
-        _memories.clear()
+    def unpacked() -> dict[str, bytes]:
         words, ids = pa.ipc.open_stream(shared.value).read_all().columns if shared.value else ([], [])
-        _memories[key] = dict(zip(*(c.to_numpy().tolist() if len(c) else [] for c in (words, ids))))
-    return _memories[key]
+        return dict(zip(*(c.to_numpy().tolist() if len(c) else [] for c in (words, ids))))
+
+    return held(key, unpacked)
 
 
 class ByteBpe:
@@ -205,6 +202,7 @@ class ByteBpe:
         pattern, parts_of = self.pattern, self._parts_maker()
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             find, seen = regex.compile(pattern).findall, Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():

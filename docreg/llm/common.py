@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,28 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by a Python worker from task to task; a worker keeps one such thing at a time.
+
+    Workers outlive the job they kept it for, and Spark takes idle ones in turn, so steps
+    that follow in the same application call ``forget``.
+    """
+    if key not in _held:
+        forget()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Drop what this worker keeps of an earlier step."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

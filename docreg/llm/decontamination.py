@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docreg.llm.common import forget
 from docreg.session import ship_package
 
 Item = tuple[int, str]
@@ -169,13 +169,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, b
 
 
 def _leaks_of(block: list[Item], rate: float):
-    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def leaks(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         matcher = Matcher(block, rate)
         for texts in parts:
-            yield pd.Series([next(matcher.find(t), None) is not None for t in texts], dtype=bool)
+            yield pa.array([next(matcher.find(t.as_py()), None) is not None for t in texts], pa.bool_())
 
     # The annotations of this module are strings; Spark reads the types.
-    leaks.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    leaks.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return leaks
 
 
@@ -184,5 +185,5 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, b
     ship_package(documents.sparkSession)
     out = documents
     for block in blocks(benchmark, block_chars):
-        out = out.where(~F.pandas_udf(_leaks_of(block, rate), "boolean")(F.col("text").cast("string")))
+        out = out.where(~F.arrow_udf(_leaks_of(block, rate), "boolean")(F.col("text").cast("string")))
     return out

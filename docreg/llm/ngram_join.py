@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docreg.llm.common import BROADCAST_ROWS, only_ids, settle
+from docreg.llm.common import BROADCAST_ROWS, forget, only_ids, settle
 from docreg.llm.components import components
 from docreg.session import ship_package
 
@@ -92,6 +92,7 @@ def _arrow(df: DataFrame, each, schema: str) -> DataFrame:
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 out = each(batch.slice(start, 1000))

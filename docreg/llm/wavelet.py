@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreg.llm.common import bounded_sample, settle, shared_folder
+from docreg.llm.common import bounded_sample, held, settle, shared_folder
 from docreg.session import ship_package
 
 MAGIC = b"WVM1"
@@ -254,15 +254,9 @@ class WordEncoder:
             yield ids[a:b]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str, shared: Broadcast, key: str) -> WordEncoder:
     """One encoder per worker process and job (``key``), kept from task to task."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(path, shared.value)
-    return _encoders[key]
+    return held(key, lambda: WordEncoder(path, shared.value))
 
 
 def frequent_words(documents: DataFrame, tokenizer: str, sample_rows: int, keep: int) -> dict[bytes, bytes]:

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docreg.llm import byte_bpe, components, decontamination, ngram_join, pii, quality_fm, quality_rules, secrets, sharding, wavelet
+from docreg.llm import byte_bpe, common, components, decontamination, ngram_join, pii, quality_fm, quality_rules, secrets, sharding, wavelet
 from docreg.llm.common import text_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -434,3 +434,21 @@ def test_words_of_many_texts_are_encoded_in_lists():
 
 def test_null_text_is_empty(spark):
     assert spark.range(1).select(F.lit(None).cast("string").alias("text")).select(text_of()).first()[0] == ""
+
+
+def test_steps_drop_what_a_worker_keeps_of_earlier_ones(spark):
+    class Table:
+        sparkSession = spark
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    step = ngram_join._arrow(Table(), lambda batch: {"n": batch.column(0)}, "n bigint")
+    leaks = decontamination._leaks_of([(1, "an item of the benchmark")], 0.08)
+    for run, none in ((step, []), (leaks, [])):
+        assert common.held("words", lambda: {"a": 1}) == {"a": 1} and common._held
+        assert list(run(iter(none))) == [] and not common._held
+    common.held("first", dict)
+    common.held("second", dict)
+    assert list(common._held) == ["second"]
+    common.forget()
