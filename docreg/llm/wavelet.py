@@ -103,14 +103,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids, undoing the stable sorts from the last plane up."""
-        out = np.zeros(self.size, np.uint32)
+        out = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            plane = self.planes[level].view(bool)
+            plane, zeros = self.planes[level].view(bool), self.zeros[level]
+            out[zeros:] |= out.dtype.type(1 << (len(self.planes) - 1 - level))
             above = np.empty_like(out)
-            above[~plane] = out[:self.zeros[level]]
-            above[plane] = out[self.zeros[level]:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            above[np.flatnonzero(~plane)] = out[:zeros]
+            above[np.flatnonzero(plane)] = out[zeros:]
             out = above
-        return out
+        return out.astype(np.uint32)
 
 
 def planes_of(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -119,7 +120,11 @@ def planes_of(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     for shift in range(bits - 1, -1, -1):
         ones = (current & current.dtype.type(1 << shift)) != 0
         yield ones
-        current = np.concatenate([current[~ones], current[ones]])
+        if shift:
+            # Arrow filters by a bitmap faster than NumPy by a mask.
+            mask = pa.BooleanArray.from_buffers(pa.bool_(), len(ones), [None, pa.py_buffer(np.packbits(ones, bitorder="little"))])
+            cells = pa.array(current)
+            current = np.concatenate([cells.filter(pc.invert(mask)).to_numpy(), cells.filter(mask).to_numpy()])
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -234,22 +239,22 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
         """Ids of each text and ``end``; the unknown words of all of them are encoded in one go."""
         counts, numbers, words = split_words(texts)
-        new = [w for w in words if w not in self.known]
+        found = [*map(self.known.get, words)]
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        new = [words[i] for i in gaps]
         if len(self.further) + len(new) > self.room:
             for word in self.further:
                 del self.known[word]
-            self.further, new = [], [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.ids_of(new)))
+            self.further = []
+        for i, ids in zip(gaps, self.ids_of(new)):
+            found[i] = self.known[words[i]] = ids
         self.further += new
-        pieces = [*map(self.known.__getitem__, words), struct.pack("<I", end)]
-        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
-        begins, flat = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(pieces), "<u4")
+        cells = pa.array([*found, struct.pack("<I", end)], pa.large_binary())
         # The end stands behind each text's words like one more word.
-        order = np.insert(numbers, np.cumsum(counts), len(words))
-        wide = sizes[order]
-        at = np.cumsum(wide, dtype=np.int32)
-        ids = flat[np.repeat(begins[order] - at + wide, wide) + np.arange(at[-1] if len(at) else 0, dtype=np.int32)]
-        stops = at[np.cumsum(counts + 1) - 1].tolist()
+        order = cells.take(pa.array(np.insert(numbers, np.cumsum(counts), len(words))))
+        offsets = np.frombuffer(order.buffers()[1], np.int64, len(order) + 1)
+        ids = np.frombuffer(order.buffers()[2] or b"", "<u4")
+        stops = (offsets[np.cumsum(counts + 1)] // 4).tolist()
         for a, b in zip([0, *stops], stops):
             yield ids[a:b]
 

@@ -432,6 +432,18 @@ def test_words_of_many_texts_are_encoded_in_lists():
     assert len(slices) > 1 and pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch]))
 
 
+def test_words_are_looked_up_once_and_not_encoded_again(monkeypatch):
+    """Words found in the memory need no second encoding when it makes room for others."""
+    encoder = wavelet.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), room=3)
+    asked, ids_of = [], encoder.ids_of
+    monkeypatch.setattr(encoder, "ids_of", lambda words: (asked.append(sorted(words)), ids_of(words))[1])
+    first = [ids.tolist() for ids in encoder.encode(pa.array(["a b c"]), 2)]
+    second = [ids.tolist() for ids in encoder.encode(pa.array(["d a e b"]), 2)]
+    assert asked == [[b"a", b"b", b"c"], [b"d", b"e"]]
+    assert sorted(encoder.known) == [b"d", b"e"]
+    assert second[0][1] == first[0][0] and second[0][3] == first[0][1]
+
+
 def test_null_text_is_empty(spark):
     assert spark.range(1).select(F.lit(None).cast("string").alias("text")).select(text_of()).first()[0] == ""
 
