@@ -1,10 +1,13 @@
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docreg.functions import prefix
 from docreg.operators import workflow as W
+from docreg.plans.oracle import ORACLE
+from docreg.plans.queries import QUERIES
 
 T0 = datetime(2026, 5, 1)
 REQUEST = ("id long, record_id long, status string, changes_registry_number boolean, proposed_registry_number string, "
@@ -183,3 +186,39 @@ def test_items_that_cannot_open_stay_behind(rows, records, fields, nothing):
     assert [tuple(r) for r in o.items.collect()] == [(1, 11, "Mana Santos", "Maria")]
     plan = o.items._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_nameless_fields_share_the_empty_key(rows, records):
+    fields = rows("id long, record_id long, name string, verified_value string, is_required boolean, sort_order int",
+                  (11, 1, None, "one", False, 0), (12, 1, "", "two", False, 1), (13, 1, None, "three", False, 2))
+    a = approve(rows, records, fields, [(1, 1, "pending", False, None, 5, None, None, T0)],
+                [(1, 1, 11, "", "1"), (2, 1, 12, "", "2"), (3, 1, 13, "", None)], (1, 7, T0, None))
+    log = W.approved_audit(a).first()
+    assert log.description == "Approved change request #1 and applied 1 value(s)."
+    assert (log.old_values, log.new_values) == ({"": "three"}, {"": None})
+
+
+def test_registered_audit_carries_the_values(spark, rows, tmp_path):
+    orders = rows("o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz",
+                  (12, 7, "F", T0), (4, 8, "F", T0))
+    # Of record 12 the second field may be emptied and the third has no name; the only field of record 4 is gone.
+    lines = rows("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string",
+                 (12, 20, 2, 1, 5.0, "A"), (12, 22, 8, 2, 6.0, "R"), (12, 23, 3, None, 7.0, "A"), (4, 34, 3, 1, 5.0, "A"))
+    con = duckdb.connect()
+    for name, df in (("orders", orders), ("lineitem", lines)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    log = QUERIES["approved_audit"](spark, str(tmp_path))
+    said = {r.description: (r.auditable_id, r.user_id, r.old_values, r.new_values) for r in log.collect()}
+    assert said == {
+        "Approved change request #24 and applied 4 value(s).": (
+            12, 7, '{"":"part 23","Field 1":"part 20","Field 2":"part 22","Registry Number":"R-12"}',
+            '{"":"part 23","Field 1":"part 20","Field 2":"part 22","Registry Number":null}'),
+        "Approved change request #25 and applied 4 value(s).": (
+            12, 7, '{"":"part 23","Field 1":"part 20","Field 2":"part 22","Registry Number":null}',
+            '{"":"part 24","Field 1":"part 21","Field 2":null,"Registry Number":null}'),
+        "Approved change request #8 and applied 0 value(s).": (4, 8, None, None),
+        "Approved change request #9 and applied 0 value(s).": (4, 8, None, None),
+    }
+    sql = con.execute(f"SELECT auditable_id, user_id, old_values, new_values FROM ({ORACLE['approved_audit']})").fetchall()
+    assert sorted(sql, key=repr) == sorted(said.values(), key=repr)
